@@ -24,7 +24,7 @@ from .bpe import Memory
 from .common import id_text, new_folder, partitions
 
 NO_ID = -(1 << 63)
-CACHE = 300_000
+CACHE = 500_000
 
 
 class PieceEncoder:
@@ -45,6 +45,7 @@ class PieceEncoder:
         self.length_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # in bytes; byte-level tokens have a letter for each byte
         for token, i in self.tokenizer.get_vocab().items():
             self.length_of[i] = len(token)
+        self.marks = {x: self.whole(x) for x in ".,"}
         self.known = Memory(CACHE)
 
     def whole(self, text: str) -> bytes:
@@ -65,11 +66,21 @@ class PieceEncoder:
         if new:
             if not all(p and not p[0].isspace() and not p[-1].isspace() for p in new):
                 return self.whole(text)
-            fresh = self.together(list(dict.fromkeys(new)))
+            # letters and one mark are two pieces of the tokenizer's, so the letters alone are looked up and kept
+            bare = [p[:-1] if p[-1] in ".," and p[:-1].isalpha() else p for p in new]
+            got, unknown = self.known.many(bare)
+            fresh = self.together(list(dict.fromkeys(unknown))) if unknown else {}
             for p, x in fresh.items():
                 if len(p) < 100:
                     self.known.put(p, x)
-            found = map(fresh.__getitem__, new)
+            found = []
+            for p, b, x in zip(new, bare, got):
+                x = fresh[b] if x is None else x
+                if b is not p:
+                    x += self.marks[p[-1]]
+                    self.known.put(p, x)
+                found.append(x)
+            found = iter(found)
             out = [next(found) if x is None else x for x in out]
         return self.whole(first) + b"".join(out) if first else b"".join(out)
 
