@@ -4,10 +4,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, ngram_join, quality, quotes, secrets, substring_dedup, token_ids
+from . import bpe, decontaminate, exact_dedup, line_dedup, ngram_join, quality, quotes, secrets, substring_dedup, token_ids
 from .common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -49,6 +53,7 @@ def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_token_ids": op2_token_ids,
     "op3_secret_scan": op3_secret_scan,
     "op4_ngram_join": op4_ngram_join,
