@@ -108,7 +108,18 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     return nn_pu_fit(x[is_trusted], x[~is_trusted], prior)
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.3, keep_text: bool = False) -> DataFrame:
+def keep_good(df: DataFrame, weights: np.ndarray, bias: float, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of df, with all their columns, whose text scores at least the threshold. Null texts score as empty ones."""
+
+    def run(batches):
+        for b in batches:
+            z = np.array([features(x or "").astype(np.float64) @ weights for x in b.column(text_col).to_pylist()]) + bias
+            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))) >= threshold, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of docs (doc_id, text)."""
 
     def run(batches):
