@@ -1,33 +1,25 @@
-"""Every query of the engine by name, with the SQL that gives the same rows."""
+"""Every query of the engine by name, with the SQL that gives the same rows where SQL can say them."""
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def flagship_market_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price statistics by market segment: exact percentiles over order values."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_totalprice")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
-    return (
-        orders.join(customer, orders.o_custkey == customer.c_custkey)
-        .groupBy("c_mktsegment")
-        .agg(
-            F.count("*").alias("n"),
-            F.percentile("o_totalprice", 0.5).alias("median_price"),
-            F.min("o_totalprice").alias("min_price"),
-            F.max("o_totalprice").alias("max_price"),
-        )
-    )
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"flagship_market_report": flagship_market_report}
-
-ORACLE_SQL: dict[str, str] = {
-    "flagship_market_report": """
-        SELECT c_mktsegment, count(*) AS n, quantile_cont(o_totalprice, 0.5) AS median_price,
-               min(o_totalprice) AS min_price, max(o_totalprice) AS max_price
-        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment
-    """,
-}
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from . import aggregates, domain, histories, places, searches, sources, texts  # noqa: E402, F401
