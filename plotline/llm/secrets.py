@@ -63,7 +63,8 @@ def _pairs(tokens: DataFrame) -> DataFrame:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_random: int = SAMPLE_RANDOM) -> list[float]:
     """log P(b | a, random) - log P(b | a, identifier) for each pair of characters of ALPHABET, row by row."""
     spark = docs.sparkSession
-    few = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    chosen = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    few = docs.join(F.broadcast(chosen), "doc_id")  # ids first, so no text but the sample's is moved
     marked = F.concat_ws("|", F.lit(ASSIGN), F.lit(ACCESS), F.lit(HEX))
     clean = F.regexp_replace("text", marked, " ")
     ordinary = few.select(F.explode(F.regexp_extract_all(clean, F.lit("[A-Za-z0-9+/_=-]{5,}"), F.lit(0))).alias("token"))
