@@ -6,32 +6,37 @@ order is the global order of n-grams; it is cut into fragments, and a set into t
 Candidates. If two sets are as similar as asked, they differ in at most D n-grams, D following from their sizes. With more
 than D fragments one of them is the same in both sets. So each fragment of a set is a key, and sets that share a
 key are candidates; a passage that many documents share makes no key, as a fragment holds n-grams from the whole
-text. Fragments are made for classes of sizes; a set also has the keys of the next lower class if a partner may be in it.
+text. More than one fragment has to be the same, as there are SLACK more than needed; so of its keys a set may leave out as many of
+the most frequent ones, and two linked sets still share one. Fragments are made for classes of sizes; a set also has the keys of the next lower class if a partner may be in it.
 A set with so many empty fragments that the argument may fail has its prefix (the first n-grams in the global order, enough to
 meet any partner's) as keys too.
 
-Links. Of the sets of a key the first is the pivot; each other one makes a pair with it. The overlap of a pair is
-counted fragment by fragment and summed. Where sets of a key are still in different components, further pivots are taken
-from it until none are; so no pair within a group of copies is made that cannot join two components, and none that can is left out.
+Links. Of the sets of a key the pivot is that which shares most keys with others, as the text that others were edited from does;
+each other one makes a pair with it. The overlap of a pair is counted fragment by fragment and summed. After that only sets of a
+key that are still in different components meet, one of each pair not of the key's largest component, so a group of copies
+makes few pairs. Sets meet only if their signatures allow it: a signature has for each of 512 classes of n-grams whether a set has
+an even or odd number of it, so two signatures differ in no more bits than the sets differ in n-grams. No pair that can be
+linked and could join two components is left out.
 
 Null texts and texts without words have empty sets, which are linked with nothing. Rows with a null id are left out, as
-a component is named by ids. Rows that repeat an id all take part in links; one row is returned for the id, that of its row with
-the most n-grams. An empty table gives no rows.
+a component is named by ids. Rows that repeat an id all take part in links, each for itself; one row is returned for the id, that of
+its row with the most n-grams. An empty table gives no rows.
 """
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, stash
 from .substring_dedup import HELD, Words, chunks, mix
 
 GROWTH = 1.4  # from a class of sizes to the next
+SLACK = 4  # fragments beyond those that sets as similar as asked may differ in
 CUTS = 4  # fragments for counting overlaps
-PIVOTS = 8  # further pivots of a key in each round
+SIGNS = [f"s{i}" for i in range(8)]  # the longs of a signature
 U = np.uint64
 
 
@@ -51,7 +56,7 @@ class Scheme:
         fragments, slack = [], []
         for lo, hi in zip(low, low[1:]):
             d = max(max_difference(a, a * 100 // percent, percent) for a in range(lo, hi)) if hi - lo < 64 else max_difference(hi - 1, (hi - 1) * 100 // percent, percent)
-            s = 2 + d // 16
+            s = SLACK + d // 16
             fragments.append(d + 1 + s)
             slack.append(s)
         self.fragments, self.slack = np.array(fragments), np.array(slack)
@@ -92,13 +97,19 @@ class Sets:
             total = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(mix(self.h, 22))])
             self.id = mix(total[self.first + self.size] - total[self.first] + self.size.astype(np.uint64), 23)
 
-    def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """key, document."""
+    def signatures(self) -> np.ndarray:
+        """A row of longs for each set."""
+        bits = 64 * len(SIGNS)
+        count = np.bincount(self.doc * bits + (mix(self.h, 27) % U(bits)).astype(np.int64), minlength=len(self.size) * bits)
+        return np.packbits((count & 1).astype(np.uint8).reshape(len(self.size), bits), axis=1).view(np.int64)
+
+    def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """key, document, tag: 64 times the class and how many of the set's most frequent keys of it may be left out; -1 for keys of a prefix."""
         if not len(self.h):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         s = scheme(percent, int(self.size.max()))
         own = np.searchsorted(s.low, np.maximum(self.size, 1), side="right") - 1
-        out_k, out_d = [], []
+        out_k, out_d, out_t = [], [], []
         sparse = np.zeros(len(self.size), bool)
         with np.errstate(over="ignore"):
             hashed = mix(self.h, 24)
@@ -116,16 +127,19 @@ class Sets:
                 new[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
                 at = np.flatnonzero(new)
                 key = mix(np.add.reduceat(h, at) + part[at] * U(0xA24BAED4963EE407) + cls[at].astype(np.uint64), 25)
+                filled = np.bincount(doc[at], minlength=len(self.size))
+                spare = s.slack[np.maximum(c, 0)] - (s.fragments[np.maximum(c, 0)] - filled)
                 out_k.append(key)
                 out_d.append(doc[at])
-                filled = np.bincount(doc[at], minlength=len(self.size))
-                sparse |= on & (s.fragments[np.maximum(c, 0)] - filled > s.slack[np.maximum(c, 0)])
+                out_t.append((cls[at] * 64 + np.clip(spare, 0, 63)[doc[at]]).astype(np.int32))
+                sparse |= on & (spare < 0)
             need = self.size - (self.size * percent + 99) // 100 + 1
             rank = np.arange(len(self.h)) - self.first[self.doc]
             prefix = sparse[self.doc] & (rank < need[self.doc])
             out_k.append(mix(self.h[prefix], 26))
             out_d.append(self.doc[prefix])
-        return np.concatenate(out_k), np.concatenate(out_d)
+            out_t.append(np.full(int(prefix.sum()), -1, np.int32))
+        return np.concatenate(out_k), np.concatenate(out_d), np.concatenate(out_t)
 
     def of(self, k: int) -> np.ndarray:
         return self.h[self.first[k] : self.first[k] + self.size[k]]
@@ -146,37 +160,40 @@ def _sets(batch: pa.RecordBatch, n: int):
 def _nodes(n: int, batches):
     for b in batches:
         for first, s, many in _sets(b, n):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id")[first : first + many], pa.array(s.id.view(np.int64)), pa.array(s.size)], ["doc_id", "set_id", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id")[first : first + many], pa.array(s.id.view(np.int64)), pa.array(s.size), *(pa.array(x) for x in np.ascontiguousarray(s.signatures().T))], ["doc_id", "set_id", "n", *SIGNS])
 
 
 def _keys(n: int, percent: int, batches):
     for b in batches:
         for _, s, _many in _sets(b, n):
-            key, doc = s.keys(percent)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s.id[doc].view(np.int64))], ["key", "set_id"])
+            key, doc, tag = s.keys(percent)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s.id[doc].view(np.int64)), pa.array(tag)], ["key", "set_id", "tag"])
 
 
-def _starred(batches):
-    """key, pivot, set_id for each set of a key but its first one, the pivot. Holds the unlike keys of a task, not their sets."""
-    keys, pivots, held, n = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+def _shared(batches):
+    """key, set_id, tag of the keys that unlike sets have. A task holds its unlike keys with the first set of each, not all of their sets."""
+    kinds = (np.int64, np.int64, np.int32, bool)
+    keys, firsts, tags, told = (np.zeros(0, k) for k in kinds)
+    held, n = [], 0
 
     def flush():
-        nonlocal keys, pivots
-        key, x = (np.concatenate(c) for c in zip(*held))
+        nonlocal keys, firsts, tags, told
+        key, x, t = (np.concatenate(c) for c in zip(*held))
         unlike, first, back = np.unique(key, return_index=True, return_inverse=True)
-        near = np.minimum(np.searchsorted(keys, unlike), max(len(keys) - 1, 0))
-        known = keys[near] == unlike if len(keys) else np.zeros(len(unlike), bool)
-        pivot = x[first]
-        pivot[known] = pivots[near[known]]
-        fresh = ~known
-        order = np.searchsorted(keys, unlike[fresh])
-        keys, pivots = np.insert(keys, order, unlike[fresh]), np.insert(pivots, order, pivot[fresh])
-        other = x != pivot[back]
-        rows = np.unique(np.stack([key[other], pivot[back][other], x[other]]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["key", "pivot", "set_id"])
+        near = np.searchsorted(keys, unlike)
+        fresh = (keys[np.minimum(near, len(keys) - 1)] != unlike) if len(keys) else np.ones(len(unlike), bool)
+        at = near[fresh]
+        keys, firsts, tags, told = np.insert(keys, at, unlike[fresh]), np.insert(firsts, at, x[first[fresh]]), np.insert(tags, at, t[first[fresh]]), np.insert(told, at, False)
+        place = np.searchsorted(keys, unlike)[back]
+        other = x != firsts[place]
+        new = np.unique(place[other])
+        new = new[~told[new]]
+        told[new] = True
+        rows = np.unique(np.stack([np.concatenate([key[other], keys[new]]), np.concatenate([x[other], firsts[new]]), np.concatenate([t[other], tags[new]]).astype(np.int64)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], ["key", "set_id", "tag"])
 
     for b in batches:
-        held.append((b.column("key").to_numpy(), b.column("set_id").to_numpy()))
+        held.append((b.column("key").to_numpy(), b.column("set_id").to_numpy(), b.column("tag").to_numpy()))
         n += b.num_rows
         if n >= HELD:
             yield flush()
@@ -207,14 +224,25 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "size_a", "size_b")), pa.array(common, pa.int64())], ["a", "b", "size_a", "size_b", "common"])
 
 
+def signed(sets: DataFrame, side: str) -> DataFrame:
+    return sets.select(F.col("set_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", *SIGNS)))
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether the signatures of two sets and their sizes allow the similarity."""
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{c}_{a}").bitwiseXOR(F.col(f"{c}_{b}"))) for c in SIGNS))
+    sizes = F.col(f"n_{a}") + F.col(f"n_{b}")
+    similar = F.least(f"n_{a}", f"n_{b}") * 100 >= F.greatest(f"n_{a}", f"n_{b}") * percent
+    return similar & (differ * (100 + percent) <= sizes * (100 - percent))
+
+
 def linked(pairs: DataFrame, cuts: DataFrame, percent: int) -> DataFrame:
     """Of the pairs a, b those whose overlap is large enough. cuts: as _cut gives."""
-    both = pairs.join(cuts.select(F.col("set_id").alias("a"), F.col("size").alias("size_a"), "cut", F.col("part").alias("part_a")), "a").join(
+    able = pairs
+    both = able.join(cuts.select(F.col("set_id").alias("a"), F.col("size").alias("size_a"), "cut", F.col("part").alias("part_a")), "a").join(
         cuts.select(F.col("set_id").alias("b"), F.col("size").alias("size_b"), "cut", F.col("part").alias("part_b")), ["b", "cut"]
     )
-    # sizes bound the similarity: pairs that can't reach it are not counted
-    able = both.where(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent)
-    counted = able.select("a", "b", "size_a", "size_b", "part_a", "part_b").mapInArrow(_overlaps, "a long, b long, size_a long, size_b long, common long")
+    counted = both.select("a", "b", "size_a", "size_b", "part_a", "part_b").mapInArrow(_overlaps, "a long, b long, size_a long, size_b long, common long")
     sums = counted.groupBy("a", "b").agg(F.sum("common").alias("i"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b"))
     return sums.where(F.col("i") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("i")) * percent).select("a", "b")
 
@@ -241,41 +269,57 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after further links: only the graph of the roots is walked again."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    met = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    up = stash(components(met), "roots")
+    old = roots.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return old.unionByName(up.join(roots, "node", "left_anti"))
+
+
+def cross_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of sets of one key under different roots that may be linked. One side is never of the key's largest root."""
+    placed = stash(members.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root")), "placed")
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    split = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("largest")).where("k > 1").select("key", "largest")
+    open_keys = stash(placed.join(split, "key").join(sets.select("set_id", "n", *SIGNS), "set_id"), "open")
+    side = lambda df, c: df.select(F.col("key").alias(f"key_{c}"), F.col("set_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("root", "largest", "n", *SIGNS)))
+    x, y = side(open_keys.where("root <> largest"), "x"), side(open_keys, "y")
+    met = x.join(y, (F.col("key_x") == F.col("key_y")) & ((F.col("root_y") == F.col("largest_y")) | (F.col("root_x") < F.col("root_y"))) & may_link("x", "y", percent))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def ngram_components(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links), one row for each id of df."""
     spark = df.sparkSession
     n = partitions(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
-    found = stash(docs.mapInArrow(partial(_nodes, words), "doc_id long, set_id long, n long"), "nodes")
+    found = stash(docs.mapInArrow(partial(_nodes, words), "doc_id long, set_id long, n long, " + ", ".join(f"{c} long" for c in SIGNS)), "nodes")
     one = found.groupBy("doc_id").agg(F.max(F.struct("n", "set_id")).alias("s")).select("doc_id", "s.n", "s.set_id")
-    sets = one.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-
-    keys = docs.mapInArrow(partial(_keys, words, percent), "key long, set_id long").repartition(n, "key")
-    stars = stash(keys.mapInArrow(_starred, "key long, pivot long, set_id long"), "stars")
-    pairs = stash(stars.select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b")).distinct(), "pairs")
-    members = stars.select("key", "set_id").distinct()
+    sets = stash(found.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("n", *SIGNS))), "sets")
+
+    keys = docs.mapInArrow(partial(_keys, words, percent), "key long, set_id long, tag int").repartition(n, "key")
+    members = stash(keys.mapInArrow(_shared, "key long, set_id long, tag int").distinct(), "keys")
+    sizes = members.groupBy("key").agg(F.count_distinct("set_id").alias("m"))
+    common_first = Window.partitionBy("set_id", "tag").orderBy(F.col("m").desc(), F.col("key").desc())
+    ranked = members.join(sizes, "key").withColumn("rank", F.row_number().over(common_first))
+    members = stash(ranked.where("tag < 0 OR rank > tag % 64").groupBy("key", "set_id").agg(F.first("m").alias("m")), "keys")
+    scores = stash(members.groupBy("set_id").agg(F.sum("m").alias("score")), "scores")
+    members = stash(members.join(scores, "set_id").select("key", "set_id", "score"), "members")
+    pivots = members.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("pivot"))
+    pairs = members.join(pivots, "key").where("set_id <> pivot")
+    pairs = pairs.select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b")).distinct()
+    pairs = stash(pairs.join(signed(sets, "a"), "a").join(signed(sets, "b"), "b").where(may_link("a", "b", percent)).select("a", "b"), "pairs")
 
     # the sets of candidates, each from one of the documents that have it
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).unionByName(stars.select("set_id")).distinct()
-    holder = found.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    texts = docs.join(wanted.join(holder, "set_id"), "doc_id")
+    wanted = scores.select("set_id")
+    texts = docs.join(wanted.join(sets.select("set_id", F.col("least").alias("doc_id")), "set_id"), "doc_id")
     cuts = stash(texts.mapInArrow(partial(_cut, words), "set_id long, size long, cut int, part binary").dropDuplicates(["set_id", "cut"]), "cuts")
 
-    edges = stash(linked(pairs, cuts, percent), "links")
-    roots = stash(components(edges), "roots")
-    while True:
-        placed = members.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
-        split = placed.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
-        members = stash(placed.join(split, "key"), "members")
-        if members.isEmpty():
-            break
-        pivots = members.groupBy("key", F.pmod(F.xxhash64("set_id"), F.lit(PIVOTS)).alias("salt")).agg(F.min(F.struct("set_id", "root")).alias("p")).select("key", F.col("p.set_id").alias("pivot"), F.col("p.root").alias("pivot_root"))
-        more = members.join(pivots, "key").where("root <> pivot_root").select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b")).distinct()
-        fresh = stash(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        pairs = pairs.unionByName(fresh)
-        edges = edges.unionByName(stash(linked(fresh, cuts, percent), "links"))
-        roots = stash(components(edges), "roots")
-        members = members.select("key", "set_id").join(pivots.select("key", F.col("pivot").alias("set_id")), ["key", "set_id"], "left_anti")
+    roots = stash(components(linked(pairs, cuts, percent)), "roots")
+    fresh = stash(cross_pairs(members, roots, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    roots = stash(joined_roots(roots, linked(fresh, cuts, percent)), "roots")
 
     # a component's name: the least id of its sets' documents
     named = sets.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
