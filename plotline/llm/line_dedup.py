@@ -1,13 +1,14 @@
 """Line dedup by a segment-partition edit join, with DataFrame functions only.
 
 A line is a duplicate if the same line, or one within `tau` edits, stands before it: in a document of lower id, or
-higher in the same one. Duplicates are removed from their documents. Only lines of at least `least` characters are compared; others
-stay.
+higher in the same one. Duplicates are removed from their documents. Only lines of at least `least` characters, and 2 tau + 1, are
+compared; others stay.
 
 Unlike lines are cut into tau + 1 segments, one of which is whole in any line within tau edits. Segments are indexed under
 the length of their line, their number and their hash; each line probes the lengths from its own down to tau less, at the places
-where a segment can stand if the edits before it and behind it are tau at most. Pairs are verified, what they begin
-and end with in common taken off, by a banded bit-parallel edit distance: the band's columns are bits of one long,
+where a segment can stand if the edits before it and behind it are tau at most. With a key goes how often its line has each of
+six letters, packed into a long; lines whose counts differ by more than tau edits explain do not meet. Pairs are verified, what
+they begin and end with in common taken off, by a banded bit-parallel edit distance: the band's columns are bits of one long,
 and each character is one step. A first step over the start rejects most pairs that only share a segment.
 
 Null texts have no lines and come back as null; empty texts as empty. Rows with a null id are compared as any others and
@@ -15,6 +16,8 @@ stand before all other rows. Rows that repeat an id are told apart by their text
 lose the same lines. An empty table gives no rows.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ HEAD = 32  # characters of the differing parts compared first
 #: As many wanted lines are sent to every task to find their texts; more are joined.
 SENT = 1_000_000
 BITS = 31  # of the band; the highest is the row tau below the diagonal
+LETTERS = "eainst"
+LETTER_BITS = 10
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -45,32 +50,50 @@ def _key(line: Column, n: Column, i: int, start: Column, size: Column) -> Column
     return F.xxhash64(n, F.lit(i), F.substring(line, start, size))
 
 
+def letter_counts(line: Column) -> Column:
+    """How often each of LETTERS stands in a line (the last bits of it), packed into a long."""
+    count = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND((1 << LETTER_BITS) - 1)
+    held = [F.shiftleft(count(c), LETTER_BITS * k) for k, c in enumerate(LETTERS)]
+    return reduce(Column.bitwiseOR, held)
+
+
+def may_be_near(x: Column, y: Column, tau: int) -> Column:
+    """Whether packed counts allow tau edits: each changes two counts by one at most."""
+    full = 1 << LETTER_BITS
+    each = [F.shiftright(x, LETTER_BITS * k).bitwiseAND(full - 1) - F.shiftright(y, LETTER_BITS * k).bitwiseAND(full - 1) for k in range(len(LETTERS))]
+    return reduce(Column.__add__, (F.least(F.abs(d), full - F.abs(d)) for d in each)) <= 2 * tau
+
+
 def segments(lines: DataFrame, tau: int) -> DataFrame:
     rows = [_key(F.col("line"), F.col("n"), i, *_segment(F.col("n"), i, tau)) for i in range(tau + 1)]
-    return lines.select("h1", F.explode(F.array(*rows)).alias("key"))
+    return lines.select("h1", "counts", F.explode(F.array(*rows)).alias("key"))
 
 
 def probes(lines: DataFrame, tau: int) -> DataFrame:
-    """The substrings that may be segments of lines of n - d characters, for d up to tau (multi-match-aware windows)."""
-    rows = []
+    """The substrings that may be segments of lines of n - d characters, for d up to tau (multi-match-aware windows).
+
+    `counts` has its bit 60 set for those of shorter lines.
+    """
+    rows, same = [], 0
     for d in range(tau + 1):
         n = (F.col("n") - d).cast("int")
         for i in range(tau + 1):
             start, size = _segment(n, i, tau)
             low, high = max(-i, d - (tau - i)), min(i, d + (tau - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                ok = (at >= 1) & (at + size - 1 <= F.col("n")) & (n >= tau + 1)
-                rows.append(F.when(ok, F.struct(F.lit(d).alias("d"), _key(F.col("line"), n, i, at, size).alias("key"))))
-    return lines.select("h1", F.explode(F.array_compact(F.array(*rows))).alias("p")).select("h1", "p.d", "p.key")
+            rows += [_key(F.col("line"), n, i, start + shift, size) for shift in range(low, high + 1)]
+        same = same or len(rows)
+    every = lines.select("h1", "counts", F.posexplode(F.array(*rows)).alias("at", "key"))
+    return every.select("h1", F.when(F.col("at") >= same, F.col("counts") + (1 << 60)).otherwise(F.col("counts")).alias("counts"), "key")
 
 
 def candidates(lines: DataFrame, tau: int) -> DataFrame:
     """a, b: hashes of unlike lines that share a segment. Copies of a line are taken together where its keys arrive."""
     n = partitions(lines.sparkSession)
-    left = segments(lines, tau).repartition(n, "key").dropDuplicates(["key", "h1"]).withColumnRenamed("h1", "b")
-    right = probes(lines, tau).repartition(n, "key").dropDuplicates(["key", "d", "h1"]).withColumnRenamed("h1", "a")
-    met = right.join(left, "key").where((F.col("a") < F.col("b")) | (F.col("d") > 0) & (F.col("a") != F.col("b")))
+    lines = lines.withColumn("counts", letter_counts(F.col("line")))
+    left = segments(lines, tau).repartition(n, "key").dropDuplicates(["key", "h1"]).select("key", F.col("h1").alias("b"), F.col("counts").alias("counts_b"))
+    right = probes(lines, tau).repartition(n, "key").dropDuplicates(["key", "h1"]).select(F.col("key").alias("probe"), F.col("h1").alias("a"), F.col("counts").alias("counts_a"))
+    other = F.when(F.col("counts_a") >= 1 << 60, F.col("a") != F.col("b")).otherwise(F.col("a") < F.col("b"))
+    met = right.join(left, (F.col("probe") == F.col("key")) & other & may_be_near(F.col("counts_a"), F.col("counts_b"), tau))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -153,7 +176,7 @@ def verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """doc_id, text_hash, pos of the lines to remove, of docs (doc_id, text_hash, text)."""
-    lines = lines_of(docs).where(F.col("n") >= max(least, tau + 1))
+    lines = lines_of(docs).where(F.col("n") >= max(least, 2 * tau + 1))
     where = F.struct("doc_id", "text_hash", "pos")
     firsts = stash(lines.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count("*").alias("copies")), "firsts")
     pairs = stash(candidates(lines, tau), "pairs")
