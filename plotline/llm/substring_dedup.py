@@ -65,18 +65,20 @@ class Words:
 
 
 class Parsed:
-    """Several documents' words, each followed by an end mark, with the windows and their anchors.
+    """Several documents' words, each between end marks, with the windows and their anchors.
 
-    Windows with one anchor that follow each other are a region; regions are what tasks exchange.
+    The mark before the first document bars its first symbol from windows, as the mark of the document before does in others:
+    so anchors don't depend on where batches and chunks are cut. Windows with one anchor that follow each other are a region; regions are what tasks exchange.
     """
 
     def __init__(self, docs: list[np.ndarray], window: int = WINDOW, rounds: int = ROUNDS, longest: int = LONGEST):
         self.window = window
         sizes = np.array([len(d) for d in docs], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]) if len(docs) else np.zeros(0, np.int64)
-        n = int((sizes + 1).sum())
+        self.first = 1 + np.cumsum(sizes + 1) - (sizes + 1)
+        n = 1 + int((sizes + 1).sum())
         self.h = np.zeros(n, np.uint64)
         mark = np.zeros(n, bool)
+        mark[0] = True
         mark[self.first + sizes] = True
         self.h[~mark] = np.concatenate([*docs, np.zeros(0, np.uint64)])
         with np.errstate(over="ignore"):

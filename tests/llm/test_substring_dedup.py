@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from plotline.llm.substring_dedup import substring_dedup
+from plotline.llm.substring_dedup import Parsed, Words, substring_dedup
 
 from .helpers import documents, edges, empty, rows, texts
 
@@ -62,5 +62,28 @@ def test_kept_text(spark):
     assert {r.doc_id: r.kept_text for r in substring_dedup(df, with_text=True).collect()} == {1: "alpha beta", 2: "gamma"}
 
 
+def test_anchors_do_not_depend_on_the_place_in_a_chunk():
+    rng = random.Random(3)
+    hashes = Words()
+    for _ in range(50):
+        text, other = (hashes([b"v%d" % rng.randrange(500) for _ in range(60)]) for _ in range(2))
+        alone, behind = Parsed([text]), Parsed([other, text])
+        held = behind.doc == 1
+        assert alone.key.tolist() == behind.key[held].tolist() and alone.at.tolist() == behind.at[held].tolist()
+
+
+def test_repeated_texts_first_in_small_batches(spark):
+    rng = random.Random(4)
+    texts_ = [" ".join(f"v{rng.randrange(500)}" for _ in range(40)) for _ in range(30)]
+    # each text comes first in a batch of its own, and again inside another document
+    docs = [(k, t) for k, t in enumerate(texts_)] + [(100 + k, f"lead {k} {t} tail") for k, t in enumerate(texts_)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert got(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute(docs, 35)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 def test_empty_table(spark):
     assert rows(substring_dedup(empty(spark))) == []
