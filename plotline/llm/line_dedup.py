@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join, with DataFrame functions only.
 
 A line is a duplicate if the same line, or one within `tau` edits, stands before it: in a document of lower id, or
-higher in the same one. Duplicates are removed from their documents. Only lines of at least `least` characters, and 2 tau + 1, are
-compared; others stay.
+higher in the same one. Duplicates are removed from their documents. Lines of less than `least` characters stay, and blank ones under
+LEAST. Of the others all are compared for exact copies, and those of 2 tau + 1 characters or more for edits too. The queries
+compare all lines (`least` 1).
 
 Unlike lines are cut into tau + 1 segments, one of which is whole in any line within tau edits. Segments are indexed under
 the length of their line, their number and their hash; each line probes the lengths from its own down to tau less, at the places
@@ -176,10 +177,10 @@ def verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """doc_id, text_hash, pos of the lines to remove, of docs (doc_id, text_hash, text)."""
-    lines = lines_of(docs).where(F.col("n") >= max(least, 2 * tau + 1))
+    lines = lines_of(docs).where((F.col("n") >= least) & ((F.col("n") >= LEAST) | F.col("line").rlike(r"\S")))
     where = F.struct("doc_id", "text_hash", "pos")
     firsts = stash(lines.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count("*").alias("copies")), "firsts")
-    pairs = stash(candidates(lines, tau), "pairs")
+    pairs = stash(candidates(lines.where(F.col("n") >= 2 * tau + 1), tau), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
     few = wanted.limit(SENT + 1).count() <= SENT
     texts = lines.select("h1", "h2", "line").join(F.broadcast(wanted) if few else wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))

@@ -9,7 +9,7 @@ from .common import documents
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_dedup(documents(spark, sf_dir))
+    return line_dedup.line_dedup(documents(spark, sf_dir), least=1)
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

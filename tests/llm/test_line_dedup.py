@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plotline.llm.line_dedup import banded, line_dedup
+from plotline.llm.queries import op1_line_dedup
 
 from .helpers import documents, edges, empty, rows, texts
 
@@ -110,5 +112,39 @@ def test_banded_distance(spark, tau):
         assert r.d == d if d <= tau else r.d > tau, (r.a, r.b, r.d, d)
 
 
+def brute_short(docs, tau=2):
+    """All lines that are not blank; edits count from 2 tau + 1 characters on."""
+    before, out = set(), []
+    for i, t in sorted(docs):
+        gone = []
+        for pos, x in enumerate(t.split("\n")):
+            if x.strip():
+                if x in before or len(x) > 2 * tau and any(len(y) > 2 * tau and near(x, y, tau) for y in before):
+                    gone.append(pos)
+                before.add(x)
+        out.append((i, t.count("\n") + 1, len(gone), ",".join(map(str, gone)), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
+    return out
+
+
+def short_lines():
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("abcdefghijkl.é🎉") for _ in range(rng.randint(1, 22))) for _ in range(120)]
+    return [(i, "\n".join(rng.choice([rng.choice(pool), rng.choice(pool)[:-1], rng.choice(pool) + "x", "", "  "]) for _ in range(rng.randint(1, 6)))) for i in range(60)]
+
+
+def test_short_lines(spark):
+    docs = short_lines()
+    assert rows(line_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), least=1, with_text=True)) == brute_short(docs)
+
+
+def test_query_and_stage_take_short_lines(spark, tmp_path):
+    docs = short_lines()
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("web")})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_short(docs)
+    assert rows(op1_line_dedup(spark, str(tmp_path))) == [w[:4] for w in want]
+    assert rows(corpus_pipeline.line_dedup_stage(spark, df, "").select("doc_id", "text")) == [(w[0], w[4]) for w in want]
+
+
 def test_empty_table(spark):
     assert rows(line_dedup(empty(spark))) == []
