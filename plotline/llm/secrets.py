@@ -2,8 +2,9 @@
 
 Base rules find assignments, access keys and long hexadecimal runs. The method adds spans: runs of key-like characters that two
 character Markov models, one of random strings and one of ordinary identifiers, tell apart by the ratio of their
-log-likelihoods. Both are trained from labelled samples: random strings made from digests (label 1), and the words of a
-bounded sample of documents that no base rule marks (label 0).
+log-likelihoods: random strings made from digests, and the words of all documents that no base rule marks. Where the documents
+give more pairs of characters than the random strings, their counts are scaled down to as many, so that what is smoothed
+does not depend on the size of the table.
 
 Spans are in code points, end exclusive. Null and empty texts have no spans. Null ids and repeated rows are scanned
 as any other row. An empty table gives no rows, and the models are then those of random strings against nothing.
@@ -26,7 +27,7 @@ KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 WIDTH = len(ALPHABET)
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
-SAMPLE_DOCS, SAMPLE_RANDOM = 2000, 6000
+SAMPLE_RANDOM = 6000
 RATIO = 0.7  # mean log-likelihood ratio of a pair of characters, in nats, from which a run is a secret
 
 
@@ -60,23 +61,23 @@ def _pairs(tokens: DataFrame) -> DataFrame:
     return tokens.where(F.length("token") >= 2).select(F.explode(F.transform(at, lambda i: F.substring("token", i, F.lit(2)))).alias("p")).groupBy("p").count()
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_random: int = SAMPLE_RANDOM) -> list[float]:
+def train(docs: DataFrame, sample_random: int = SAMPLE_RANDOM) -> list[float]:
     """log P(b | a, random) - log P(b | a, identifier) for each pair of characters of ALPHABET, row by row."""
     spark = docs.sparkSession
-    chosen = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    few = docs.join(F.broadcast(chosen), "doc_id")  # ids first, so no text but the sample's is moved
     marked = F.concat_ws("|", F.lit(ASSIGN), F.lit(ACCESS), F.lit(HEX))
     clean = F.regexp_replace("text", marked, " ")
-    ordinary = few.select(F.explode(F.regexp_extract_all(clean, F.lit("[A-Za-z0-9+/_=-]{5,}"), F.lit(0))).alias("token"))
+    ordinary = docs.select(F.explode(F.regexp_extract_all(clean, F.lit("[A-Za-z0-9+/_=-]{5,}"), F.lit(0))).alias("token"))
     n = F.col("id").cast("string")
     random = spark.range(sample_random).select(F.explode(F.array(F.base64(F.unhex(F.sha2(n, 256))), F.translate(F.base64(F.unhex(F.sha2(F.concat(n, F.lit("u")), 256))), "+/=", "-_"), F.md5(n))).alias("token"))
+    found = [_pairs(tokens).collect() for tokens in (random, ordinary)]  # bounded by the square of the alphabet
+    mass = [sum(r["count"] for r in pairs) for pairs in found]
     model = []
-    for tokens in (random, ordinary):
+    for pairs, n in zip(found, mass):
         count = [[0.5] * WIDTH for _ in range(WIDTH)]
-        for r in _pairs(tokens).collect():  # bounded by the square of the alphabet
+        for r in pairs:
             a, b = (ALPHABET.find(c) for c in r["p"])
             if a >= 0 and b >= 0:
-                count[a][b] += r["count"]
+                count[a][b] += r["count"] * min(1.0, mass[0] / n)
         model.append([[math.log(x / sum(row)) for x in row] for row in count])
     return [p - q for r, s in zip(*model) for p, q in zip(r, s)]
 

@@ -1,10 +1,11 @@
 import hashlib
+import math
 import random
 import re
 
 import pytest
 
-from plotline.llm.secrets import secrets
+from plotline.llm.secrets import ALPHABET, WIDTH, secrets, train
 
 from .helpers import documents, edges, empty, rows, texts
 
@@ -62,5 +63,18 @@ def test_base_spans_stay(spark):
         assert [int(s[1]) for s in spans] == sorted(int(s[1]) for s in spans)
 
 
+def test_model_counts_all_documents(spark):
+    # identifiers of one rare style in one document of many: its pairs have to be in the model wherever it stands
+    docs = [(k if k % 9 else None, f"plain words of document number {k}") for k in range(2500)]
+    styles = {x: "_".join([x * 3] * 4) for x in "QXZJ"}
+    base_ = train(spark.createDataFrame(docs, "doc_id long, text string"))
+    for k, word in enumerate(styles.values()):
+        more = docs + [(10_000 + 7 * k + j, f"{word} {word}") for j in range(3)] + [(None, word)]
+        got = train(spark.createDataFrame(more, "doc_id long, text string"))
+        # 7 words, each with 8 pairs of its letter alone and 3 of it and "_"
+        at = ALPHABET.index(word[0]) * WIDTH + ALPHABET.index(word[0])
+        assert got[at] - base_[at] == pytest.approx(math.log(0.5 / (0.5 * WIDTH)) - math.log((7 * 8 + 0.5) / (0.5 * WIDTH + 7 * 11)))
+
+
 def test_empty_table(spark):
     assert rows(secrets(empty(spark))) == []
