@@ -2,8 +2,8 @@
 
 A line's quote level is the number of `>` marks before it (spaces between them do not count). Neighbouring lines of one level
 form a passage. Passages are normalised (lower case, runs of white space to one space, trimmed) and hashed.
-A quoted passage is linked to the message that has it as its own (level 0) passage, whole text or line: the latest earlier
-turn of the same conversation, else the first message of any other conversation. The message it replies to is the latest
+A quoted passage is linked to the message that has it as its own (level 0) passage, whole text, paragraph, line or lines that follow each
+other (blank ones aside): the latest earlier turn of the same conversation, else the first message of any other conversation. The message it replies to is the latest
 earlier turn linked; messages of a conversation are ordered by thread (the first turn reached through such links), then
 turn, and keep only the lines that are not quoted.
 
@@ -34,6 +34,11 @@ def _lines(rows: DataFrame) -> DataFrame:
     return e.select("mid", "conv_id", "turn", "n", F.length(F.regexp_replace(F.regexp_extract("raw", MARKS, 1), "[ \t]", "")).alias("level"), F.regexp_replace("raw", MARKS, "").alias("line"))
 
 
+def _filled(lines: Column) -> Column:
+    """The lines that are not blank, normalised; joined by spaces they are what their text is normalised to."""
+    return F.filter(F.transform(lines, _norm), lambda x: x != "")
+
+
 def _joined(c: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda x: x[c]), "\n")
 
@@ -57,18 +62,25 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     quoted_lines = stash(_lines(marked), "quoted")
     quotes = (
         passages(quoted_lines.where("level > 0"))
-        .select("mid", "conv_id", "turn", "level", "first", _norm(F.col("text")).alias("norm"))
+        .select("mid", "conv_id", "turn", "level", "first", _norm(F.col("text")).alias("norm"), _filled(F.split("text", "\n", -1)).alias("filled"))
         .where(F.col("norm").rlike(r"[\p{L}\p{N}]"))
-        .select("mid", "conv_id", "turn", "level", "first", *_key(F.col("norm")))
+        .select("mid", "conv_id", "turn", "level", "first", *_key(F.col("norm")), F.xxhash64(F.col("filled")[0]).alias("head"), F.size("filled").alias("many"))
     )
     wanted = stash(quotes, "quotes")
 
-    # own passages: of marked messages their level-0 runs, of all messages the whole own text and each own line
+    # own passages: of marked messages their level-0 runs, of all messages the whole own text, each paragraph and each own line
     own = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     plain = F.concat_ws("\n", F.filter(F.split("text", "\r?\n", -1), lambda x: ~x.rlike(MARKS)))
-    units = own.select("conv_id", "turn", F.explode(F.array_union(F.array(plain), F.split(plain, "\n", -1))).alias("unit")).unionByName(
+    units = own.select("conv_id", "turn", F.explode(F.array_union(F.array_union(F.array(plain), F.split(plain, r"\n\s*\n", -1)), F.split(plain, "\n", -1))).alias("unit")).unionByName(
         passages(quoted_lines.where("conv_id IS NOT NULL AND turn IS NOT NULL")).where("level = 0").select("conv_id", "turn", F.col("text").alias("unit"))
     )
+    # and as many lines from a line on as a quote has that begins with it: places first, so no text is moved with each line
+    filled = _filled(F.split(plain, "\n", -1))
+    heads = wanted.where("many > 1").select("head", "many").distinct()
+    starts = own.select("mid", F.posexplode(filled).alias("at", "line")).select("mid", "at", F.xxhash64("line").alias("head")).join(heads, "head")
+    starts = starts.groupBy("mid").agg(F.collect_set(F.struct("at", "many")).alias("starts"))
+    held = own.join(starts, "mid").select("conv_id", "turn", filled.alias("filled"), F.explode("starts").alias("s")).where(F.col("s.at") + F.col("s.many") <= F.size("filled"))
+    units = units.unionByName(held.select("conv_id", "turn", F.array_join(F.slice("filled", F.col("s.at") + 1, F.col("s.many")), " ").alias("unit")))
     keyed = units.select("conv_id", "turn", _norm(F.col("unit")).alias("norm")).select("conv_id", "turn", *_key(F.col("norm")))
     sources = stash(keyed.join(wanted.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").distinct(), "sources")
 

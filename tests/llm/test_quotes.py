@@ -49,6 +49,28 @@ def test_links_threads_and_own_text(spark):
     assert order == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4)]
 
 
+def test_lines_and_paragraphs_out_of_a_longer_message(spark):
+    data = [
+        (1, 0, "user", "First line.\nSecond line.\n\nThird line.\nFourth line."),
+        (1, 1, "user", "> second  LINE.\n>\n> Third line.\nMiddle."),
+        (1, 2, "user", "> Third line. Fourth\n> line.\nA paragraph, wrapped anew."),
+        (1, 3, "user", "> First line.\n> Third line.\nNot one after the other."),
+        (1, 4, "user", "> Fourth line.\n> Fifth line.\nPast the end."),
+        (2, 0, "user", "> Third line.\n> Fourth line.\nFrom elsewhere."),
+        (3, 0, "user", "Other text."),
+        (3, 1, "user", "x\nSecond line.\nThird line.\nagain"),
+        (3, 2, "user", "> Second line.\n> Third line.\nThe nearest."),
+    ]
+    got = by_turn(link_quotes(table(spark, data)))
+    at = lambda *k: (got[k].thread_turn, got[k].reply_conv, got[k].reply_turn, got[k].n_quotes, got[k].n_linked)
+    assert at(1, 1) == (0, 1, 0, 1, 1)
+    assert at(1, 2) == (0, 1, 0, 1, 1)
+    assert at(1, 3) == (3, None, None, 1, 0)
+    assert at(1, 4) == (4, None, None, 1, 0)
+    assert at(2, 0) == (0, 1, 0, 1, 1)
+    assert at(3, 2) == (1, 3, 1, 1, 1)
+
+
 def test_deep_reply_chain(spark):
     data = [(7, k, "user", f"> line {k - 1}\nline {k}" if k else "line 0") for k in range(40)]
     got = by_turn(link_quotes(table(spark, data)))
