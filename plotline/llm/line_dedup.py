@@ -1,14 +1,14 @@
 """Line dedup by a segment-partition edit join, with DataFrame functions only.
 
 A line is a duplicate if the same line, or one within `tau` edits, stands before it: in a document of lower id, or
-higher in the same one. Duplicates are removed from their documents. Lines of less than `least` characters stay, and blank ones under
-LEAST. Of the others all are compared for exact copies, and those of 2 tau + 1 characters or more for edits too. The queries
-compare all lines (`least` 1).
+higher in the same one. Duplicates are removed from their documents. Blank lines stay, and those of less than `least` characters
+if more than one is asked for. All others are compared for exact copies, and those of 2 tau + 1 characters or more for edits too.
 
 Unlike lines are cut into tau + 1 segments, one of which is whole in any line within tau edits. Segments are indexed under
 the length of their line, their number and their hash; each line probes the lengths from its own down to tau less, at the places
-where a segment can stand if the edits before it and behind it are tau at most. With a key goes how often its line has each of
-six letters, packed into a long; lines whose counts differ by more than tau edits explain do not meet. Pairs are verified, what
+where a segment can stand if the edits before it and behind it are tau at most. With a key go two marks of its line, of the characters
+and of the words that it holds an odd number of; lines whose marks differ by more than tau edits explain do not meet. So of the unlike
+lines that share a segment, as copies of one text with other changes do, few are paired. Pairs are verified, what
 they begin and end with in common taken off, by a banded bit-parallel edit distance: the band's columns are bits of one long,
 and each character is one step. A first step over the start rejects most pairs that only share a segment.
 
@@ -17,20 +17,16 @@ stand before all other rows. Rows that repeat an id are told apart by their text
 lose the same lines. An empty table gives no rows.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, stash
 
-TAU, LEAST = 2, 20
+TAU, LEAST = 2, 1
 HEAD = 32  # characters of the differing parts compared first
 #: As many wanted lines are sent to every task to find their texts; more are joined.
 SENT = 1_000_000
 BITS = 31  # of the band; the highest is the row tau below the diagonal
-LETTERS = "eainst"
-LETTER_BITS = 10
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -39,63 +35,71 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select("*", F.length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"))
 
 
-def _segment(n: Column, i: int, tau: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment i (from 0) of a line of n characters; the last ones are longer by one."""
-    size, longer = F.floor(n / (tau + 1)).cast("int"), (n % (tau + 1)).cast("int")
-    short = (tau + 1) - longer
-    extra = F.greatest(F.lit(i) - short, F.lit(0))
-    return (size * i + extra + 1).cast("int"), (size + F.when(F.lit(i) >= short, 1).otherwise(0)).cast("int")
-
+def _odd(parts: Column) -> Column:
+    """Which of 64 classes an odd number of the parts falls into, as the bits of a long."""
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda held, part: held.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(part))))
 
-def _key(line: Column, n: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(n, F.lit(i), F.substring(line, start, size))
 
+def with_marks(lines: DataFrame) -> DataFrame:
+    """lines with `letters` and `words`: the classes of which a line holds an odd number of characters and of words."""
+    return lines.select("*", _odd(F.split("line", "")).alias("letters"), _odd(F.split("line", " ", -1)).alias("words"))
 
-def letter_counts(line: Column) -> Column:
-    """How often each of LETTERS stands in a line (the last bits of it), packed into a long."""
-    count = lambda c: (F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).cast("long").bitwiseAND((1 << LETTER_BITS) - 1)
-    held = [F.shiftleft(count(c), LETTER_BITS * k) for k, c in enumerate(LETTERS)]
-    return reduce(Column.bitwiseOR, held)
 
+def may_be_near(a: str, b: str, less: Column, tau: int) -> Column:
+    """Whether marks allow tau edits of lines of which one has `less` characters less.
 
-def may_be_near(x: Column, y: Column, tau: int) -> Column:
-    """Whether packed counts allow tau edits: each changes two counts by one at most."""
-    full = 1 << LETTER_BITS
-    each = [F.shiftright(x, LETTER_BITS * k).bitwiseAND(full - 1) - F.shiftright(y, LETTER_BITS * k).bitwiseAND(full - 1) for k in range(len(LETTERS))]
-    return reduce(Column.__add__, (F.least(F.abs(d), full - F.abs(d)) for d in each)) <= 2 * tau
+    An edit takes or adds three words at most (a space that goes or comes). It takes or adds two characters, or one if it
+    changes the length, as `less` of the edits have to.
+    """
+    unlike = lambda mark: F.bit_count(F.col(f"{mark}_{a}").bitwiseXOR(F.col(f"{mark}_{b}")))
+    return (unlike("letters") + less <= 2 * tau) & (unlike("words") <= 3 * tau)
 
 
-def segments(lines: DataFrame, tau: int) -> DataFrame:
-    rows = [_key(F.col("line"), F.col("n"), i, *_segment(F.col("n"), i, tau)) for i in range(tau + 1)]
-    return lines.select("h1", "counts", F.explode(F.array(*rows)).alias("key"))
+OWN = 1
 
 
-def probes(lines: DataFrame, tau: int) -> DataFrame:
-    """The substrings that may be segments of lines of n - d characters, for d up to tau (multi-match-aware windows).
+def places(tau: int) -> list[tuple[int, int, int, int]]:
+    """What a line is looked up by: (characters that the other has less, segment, shift, role) (multi-match-aware windows).
 
-    `counts` has its bit 60 set for those of shorter lines.
+    The role is twice the characters, and OWN for a segment of the line itself.
     """
-    rows, same = [], 0
+    out = []
     for d in range(tau + 1):
-        n = (F.col("n") - d).cast("int")
         for i in range(tau + 1):
-            start, size = _segment(n, i, tau)
-            low, high = max(-i, d - (tau - i)), min(i, d + (tau - i))
-            rows += [_key(F.col("line"), n, i, start + shift, size) for shift in range(low, high + 1)]
-        same = same or len(rows)
-    every = lines.select("h1", "counts", F.posexplode(F.array(*rows)).alias("at", "key"))
-    return every.select("h1", F.when(F.col("at") >= same, F.col("counts") + (1 << 60)).otherwise(F.col("counts")).alias("counts"), "key")
+            for shift in range(max(-i, d - (tau - i)), min(i, d + (tau - i)) + 1):
+                out.append((d, i, shift, 2 * d + (OWN if d == shift == 0 else 0)))
+    return out
+
+
+def keyed(lines: DataFrame, tau: int) -> DataFrame:
+    """h1, letters, words, role, key: the segments of each line and the substrings that may be segments of others.
+
+    Places are exploded before their keys are made, so that the code for a key is there once and stays small enough to be compiled.
+    """
+    spec = F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(p, ("d", "i", "shift", "role")))) for p in places(tau)))
+    at = with_marks(lines).select("h1", "letters", "words", "line", "n", F.explode(spec).alias("p"))
+    m, i = F.col("n") - F.col("p.d"), F.col("p.i")
+    # the last segments are longer by one
+    size, short = F.floor(m / (tau + 1)).cast("int"), (tau + 1) - m % (tau + 1)
+    start = size * i + F.greatest(i - short, F.lit(0)) + 1 + F.col("p.shift")
+    held = F.substring("line", start, size + F.when(i >= short, 1).otherwise(0))
+    return at.select("h1", "letters", "words", F.col("p.role").alias("role"), F.xxhash64(m, i, held).alias("key"))
 
 
 def candidates(lines: DataFrame, tau: int) -> DataFrame:
-    """a, b: hashes of unlike lines that share a segment. Copies of a line are taken together where its keys arrive."""
+    """a, b: hashes of unlike lines that share a segment. Copies of a line are taken together where its keys arrive.
+
+    Both sides of the join read one exchange: the filter on `role` stands above the grouping, so the plans below are the same.
+    """
     n = partitions(lines.sparkSession)
-    lines = lines.withColumn("counts", letter_counts(F.col("line")))
-    left = segments(lines, tau).repartition(n, "key").dropDuplicates(["key", "h1"]).select("key", F.col("h1").alias("b"), F.col("counts").alias("counts_b"))
-    right = probes(lines, tau).repartition(n, "key").dropDuplicates(["key", "h1"]).select(F.col("key").alias("probe"), F.col("h1").alias("a"), F.col("counts").alias("counts_a"))
-    other = F.when(F.col("counts_a") >= 1 << 60, F.col("a") != F.col("b")).otherwise(F.col("a") < F.col("b"))
-    met = right.join(left, (F.col("probe") == F.col("key")) & other & may_be_near(F.col("counts_a"), F.col("counts_b"), tau))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    once = keyed(lines, tau).repartition(n, "key").groupBy("key", "h1").agg(F.bit_or("role").alias("role"), F.min("letters").alias("letters"), F.min("words").alias("words"))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("h1", "letters", "words")]
+    right = once.select("key", F.shiftright("role", 1).alias("less"), *side("a"))
+    left = once.where(F.col("role").bitwiseAND(OWN) > 0).select(F.col("key").alias("segment"), *side("b"))
+    # a pair of equal length is found from either side: one is enough
+    other = F.when(F.col("less") == 0, F.col("h1_a") < F.col("h1_b")).otherwise(F.col("h1_a") != F.col("h1_b"))
+    met = right.join(left, (F.col("key") == F.col("segment")) & other & may_be_near("a", "b", F.col("less"), tau))
+    return met.select(F.least("h1_a", "h1_b").alias("a"), F.greatest("h1_a", "h1_b").alias("b")).distinct()
 
 
 def _common(x: Column, y: Column) -> Column:
@@ -177,7 +181,7 @@ def verified(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
 
 def duplicate_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> DataFrame:
     """doc_id, text_hash, pos of the lines to remove, of docs (doc_id, text_hash, text)."""
-    lines = lines_of(docs).where((F.col("n") >= least) & ((F.col("n") >= LEAST) | F.col("line").rlike(r"\S")))
+    lines = lines_of(docs).where((F.col("n") >= least) & F.col("line").rlike(r"\S"))
     where = F.struct("doc_id", "text_hash", "pos")
     firsts = stash(lines.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count("*").alias("copies")), "firsts")
     pairs = stash(candidates(lines.where(F.col("n") >= 2 * tau + 1), tau), "pairs")
