@@ -1,8 +1,10 @@
-"""Feature labels: raw values of one meaning share a label."""
+"""Labels of features, of which raw values of one meaning share one, and of codes."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import humanize
+
 #: A feature's label and the raw values that mean it.
 SYNONYMS: dict[str, tuple[str, ...]] = {
     "balkon": ("balkon", "balcony"),
@@ -86,3 +88,62 @@ def label(c: Column, synonyms: dict[str, tuple[str, ...]] = SYNONYMS) -> Column:
     """The label of a raw value; a value without one is its own."""
     known = F.create_map(*(F.lit(x) for name, raws in synonyms.items() for raw in raws for x in (raw, name)))
     return F.coalesce(F.try_element_at(known, c), c)
+
+
+#: The labels of codes, by the field that holds them.
+CODED: dict[str, dict[str, str]] = {
+    "offer_types": {"SALE": "Kupno", "RENT": "Wynajem"},
+    "object_types": {"APARTMENT": "Mieszkanie", "HOUSE": "Dom", "INVESTMENT": "Inwestycja"},
+    "building_types": {
+        "BLOCK": "Blok",
+        "APARTMENT": "Apartamentowiec",
+        "TENEMENT": "Kamienica",
+        "DETACHED": "Dom wolnostojący",
+        "SEMI_DETACHED": "Bliźniak",
+        "RIBBON": "Szeregowiec",
+        "HOUSE": "Dom",
+        "INFILL": "Plomba",
+        "FARM": "Siedlisko",
+        "LOFT": "Loft",
+        "RESIDENCE": "Rezydencja",
+        "OTHER": "Inny",
+    },
+    "building_materials": {
+        "BRICK": "Cegła",
+        "BREEZEBLOCK": "Pustak",
+        "CONCRETE_PLATE": "Wielka płyta",
+        "SILIKAT": "Silikat",
+        "REINFORCED_CONCRETE": "Żelbet",
+        "CELLULAR_CONCRETE": "Beton komórkowy",
+        "CONCRETE": "Beton",
+        "WOOD": "Drewno",
+        "HYDROTON": "Keramzyt",
+        "OTHER": "Inny",
+    },
+    "building_heating": {"URBAN": "Miejskie", "GAS": "Gazowe", "BOILER_ROOM": "Kotłownia", "ELECTRICAL": "Elektryczne", "TILED_STOVE": "Piece kaflowe", "OTHER": "Inne"},
+    "markets": {"PRIMARY": "Pierwotny", "SECONDARY": "Wtórny", "ALL": "Bez podziału", "": "Nie podano"},
+    "advertiser_types": {"business": "Biuro lub deweloper", "private": "Osoba prywatna"},
+    "property_conditions": {"READY_TO_USE": "Do zamieszkania", "TO_COMPLETION": "Do wykończenia", "TO_RENOVATION": "Do remontu"},
+    "property_ownership": {"FULL_OWNERSHIP": "Pełna własność", "LIMITED_OWNERSHIP": "Spółdzielcze własnościowe", "SHARE": "Udział", "USUFRUCT": "Użytkowanie"},
+    "property_types": {"FLAT": "Mieszkanie"},
+    "style_tags": {
+        "MODERN": "Nowoczesny",
+        "SCANDINAVIAN": "Skandynawski",
+        "MINIMALIST": "Minimalistyczny",
+        "CLASSIC": "Klasyczny",
+        "INDUSTRIAL": "Industrialny",
+        "GLAMOUR": "Glamour",
+        "RUSTIC": "Rustykalny",
+        "DATED": "Przestarzały",
+        "WORN": "Zniszczony",
+        "RAW": "Surowy",
+        "UNKNOWN": "Nieokreślony",
+    },
+    "renovation_needed": {"none": "Nic do zrobienia", "cosmetic": "Odświeżenie", "partial": "Remont częściowy", "full": "Remont generalny"},
+}
+
+
+def code_label(c: Column, field: str) -> Column:
+    """The label of a field's code; of an unknown one its words. Null has none."""
+    known = F.create_map(*(F.lit(x) for pair in CODED[field].items() for x in pair))
+    return F.coalesce(F.try_element_at(known, c), humanize(c))

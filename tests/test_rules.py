@@ -28,7 +28,10 @@ def test_text(spark):
     assert values(spark, [("unitPriceGross",), ("a_b",)], "a string", text.camel_words(F.col("a"))) == ["unit Price Gross", "a b"]
     assert text.html_text("<p>a<br>b</p><script>x</script><ul><li>c</li></ul>") == "a\nb\nc"
     assert text.html_text("<p>abcdef</p>", 3).startswith("abc\n[") and text.html_text("") is None
-    assert text.excerpt("one two three four", 4, 7, 0) == "…two…"
+    cut = lambda content, found, margin: one(spark, text.excerpt(F.lit(content), *text.first_match(F.lit(content), found), margin).alias("x")).x
+    assert cut("one two three four", "two", 0) == "…two…" and cut("one two three four", "two", 50) == "one two three four"
+    assert cut("one two three four", "three", 5) == "one two three four" and cut("aaa bbb ccc ddd eee", "ccc", 2) == "…bbb ccc ddd…"
+    assert cut("one two", "one", 0) == "one…" and cut("one two", "two", 0) == "…two"
     assert values(spark, [(1234567.0,)], "a double", text.money(F.col("a"))) == ["1 234 567 zł"]
     assert values(spark, [(-12.5,), (3.0,)], "a double", text.percent(F.col("a"))) == ["-12,5%", "+3%"]
 
@@ -124,17 +127,66 @@ def test_checks(spark):
     assert verdict(True, 327.0, True, 835, "Kraków", None) == ["near_city_border"]
     assert verdict(True, 327.0, False, 289, None, "Zielonki") == ["pin_outside_city"]
     assert verdict(True, 20.0, True, 600, None, None) == [] and verdict(False, 327.0, False, 9000, None, None) == []
-    assert checks.usable_area("Dom 180 m2, 96 m2 powierzchni użytkowej", 180.0) == 96.0
-    assert checks.usable_area("parter 96 m2 powierzchni użytkowej", 180.0) is None
-    assert checks.area_warnings("Mieszkanie ze skosami, w tym piwnica 5 m2", 60.0)["flags"] == ["attic_slopes", "appurtenant_included"]
-    assert checks.border_phrase("Działka na granicy Krakowa i Zielonek", "Skawina", []) == "na granicy Krakowa"
-    assert checks.border_phrase("blisko, 3 km od granicy z Czechami", "Cieszyn", []) is not None
-    assert checks.border_phrase("gmina Skawina", "Skawina", []) is None
-    assert checks.place_mention("Dom w Zielonkach, cisza", "Zielonki") and checks.place_mention("dojazd do Zielonek", "Zielonki") is None
     flags = one(spark, checks.nuisance_verdict(F.lit(180), F.lit("A4"), F.lit(400), F.lit(4250)).alias("v")).v
     assert flags.flags == ["near_expressway", "under_approach"] and "4,2" in flags.notes[1]
 
 
+def test_area_rules(spark):
+    said = [
+        ("Dom 180 m2, 96 m2 powierzchni użytkowej", 180.0, 96.0),
+        ("parter 96 m2 powierzchni użytkowej", 180.0, None),
+        ("Pow. użytkowa: 96,5 m², w tym poziom 1 90 m2 pow. użytkowej", 180.0, 96.5),
+        ("użytkowa wg księdze wieczystej 100 m2", 180.0, 100.0),
+        ("powierzchni użytkowej 70 m2", 180.0, None),
+        ("powierzchni użytkowej 175 m2", 180.0, None),
+        ("powierzchni użytkowej 96 m2", None, None),
+        ("Łączna 120 m2 użytkowej oraz 110 m2 użytkowej", 180.0, 110.0),
+    ]
+    assert values(spark, [x[:2] for x in said], "t string, area double", checks.usable_area(F.col("t"), F.col("area"))) == [x[2] for x in said]
+    rows = [("Mieszkanie ze skosami, w tym piwnica 5 m2", 60.0), ("Dom 180 m2, 96 m2 powierzchni użytkowej", 180.0), ("nic", 50.0), (None, 1.0)]
+    got = values(spark, rows, "t string, area double", checks.area_verdict(F.col("t"), F.col("area")))
+    assert [g.flags for g in got] == [["attic_slopes", "appurtenant_included"], ["usable_area_smaller"], [], []]
+    assert got[1].notes == ["Opis podaje 96 m² powierzchni użytkowej, a ogłoszenie 180 m². Cena za metr użytkowy jest o 88% wyższa."]
+    assert got[0].notes[0] == "Opis wspomina skosy albo powierzchnię po podłodze: „Mieszkanie ze skosami, w tym piwnica 5 m2”."
+    df = spark.createDataFrame([(1, 60.0, None, "Ładne skosy"), (2, 60.0, "skosy", "bez"), (3, 60.0, "skosy", "***"), (4, 60.0, "skosy", None)], "id long, area double, title string, description string")
+    assert [r.id for r in checks.area_verdicts(df).collect()] == [1]
+
+
+def test_border_rules(spark):
+    said = [
+        ("Działka na granicy Krakowa i Zielonek", "Skawina", [], "na granicy Krakowa"),
+        ("blisko, 3 km od granicy z Czechami", "Cieszyn", [], "3 km od granicy"),
+        ("gmina Skawina", "Skawina", [], None),
+        ("w gminie Zabierzów, cisza", "Kraków", [], "gminie Zabierzów"),
+        ("na granicy Podgórza i Dębnik", "Kraków", ["Podgórze"], None),
+        ("na granicy Czech", "Cieszyn", None, None),
+        ("przy granicy Działka, pod Krakowem", "Skawina", None, "pod Krakowem"),
+        ("spokojna okolica", None, None, None),
+        (None, "Kraków", None, None),
+    ]
+    assert values(spark, [x[:3] for x in said], "t string, city string, names array<string>", checks.border_phrase(F.col("t"), F.col("city"), F.col("names"))) == [x[3] for x in said]
+
+
+def test_place_rules(spark):
+    said = [
+        ("Dom w Zielonkach, cisza", "Zielonki", True),
+        ("dojazd do Zielonek", "Zielonki", False),
+        ("Zielonki 5 km stąd", "Zielonki", False),
+        ("dom zielonkowski", "Zielonki", False),
+        ("blisko Zielonek. Ładny dom w Zielonkach", "Zielonki", True),
+        ("działka w Nowym Targu", "Nowy Targ", False),
+        ("działka, Nowy Targ", "Nowy Targ", True),
+        ("ul. Zielonki 3", "Zielonki", False),
+        ("PodZielonki", "Zielonki", False),
+        ("Nowa Wieś (okolica)", "Nowa Wieś", True),
+    ]
+    got = values(spark, [x[:2] for x in said], "t string, name string", checks.place_mention(F.col("t"), F.col("name")))
+    assert [g is not None for g in got] == [x[2] for x in said]
+    assert got[4] == "blisko Zielonek. Ładny dom w Zielonkach"
+    long = "a" * 60 + " blisko Zielonek. " + "b " * 40 + "Dom w Zielonkach jest cichy " + "c " * 40
+    assert values(spark, [(long, "Zielonki")], "t string, name string", checks.place_mention(F.col("t"), F.col("name")))[0].strip("…b c").startswith("Dom w Zielonkach jest cichy")
+
+
 def test_lineage_of_monthly_relistings(spark):
     rows = [(i, 7, "SECONDARY", "SALE", "APARTMENT", dt.datetime(2026, 3 + i, 1), dt.datetime(2026, 3 + i, 28) if i < 4 else None, True, None, 1_099_000 - i * 1000, 120.4, 4, "FLOOR_1", 2011, "BLOCK", 50.11, 19.8876, 38, "Ładne mieszkanie z widokiem") for i in range(1, 5)]
     rows.append((9, 8, "SECONDARY", "SALE", "APARTMENT", dt.datetime(2026, 4, 5), None, True, None, 900_000, 60.3, 2, "FLOOR_1", 2011, "BLOCK", 50.11, 19.8876, 38, "Kawalerka"))
@@ -187,11 +239,42 @@ def test_search_and_plan():
     assert search.parsed_attributes(["kitchen_type: open", "x", ":y"]) == [("kitchen_type", "open")]
     with pytest.raises(ValueError):
         search.Search(limit=500)
-    facets = {"cities": ["Kraków"], "features": ["balkon"], "markets": ["PRIMARY"]}
-    q, keywords, warnings = assistant.plan(
-        {"cities": ["kraków", "Atlantis"], "features": ["balkon", "x"], "limits": [{"field": "max_price", "value": 5e5}], "near": [{"latitude": 50.06, "longitude": 19.94, "radius_m": 9_000_000, "place": "Rynek"}], "keywords": ["park", "park"], "sort": "odd"}, facets
-    )
-    assert q.cities == [] and q.radius_m == 50_000 and q.features == ["balkon"] and q.max_price == 500_000 and keywords == ["park"] and len(warnings) == 2
+    facets = {"cities": ["Kraków", "Łódź"], "features": ["balkon"]}
+    answer = {
+        "cities": ["krakow", "Atlantis"],
+        "markets": ["PRIMARY", "ALL"],
+        "building_types": ["BLOCK", "CASTLE"],
+        "features": ["balkon", "x"],
+        "limits": [{"field": "max_price", "value": 499_999.6}, {"field": "min_area", "value": 40}, {"field": "min_rooms", "value": -1}, {"field": "odd", "value": 1}, {"field": "max_rent"}],
+        "near": [{"latitude": 50.06, "longitude": 19.94, "radius_m": 9_000_000, "place": "Rynek"}],
+        "keywords": ["park", " park ", " "],
+        "criteria": [{"text": " cisza ", "importance": "must"}, {"text": ""}, {"text": "widok"}],
+        "understood": " tak ",
+        "sort": "odd",
+    }
+    p = assistant.plan(answer, facets)
+    q = p.query
+    assert q.cities == [] and q.radius_m == 50_000 and q.features == ["balkon"] and q.markets == ["PRIMARY"] and q.building_types == ["BLOCK"]
+    assert (q.max_price, q.min_area, q.min_rooms, q.max_rent) == (500_000, 40.0, None, None)
+    assert (p.keywords, p.criteria, p.understood, p.sort, q.sort) == (["park"], [("cisza", "must"), ("widok", "nice")], "tak", "relevance", "created_at")
+    assert p.warnings == ["Nie znalazłem miejscowości „Atlantis” w ogłoszeniach, pomijam ten filtr.", "Szukam w promieniu 50 km od „Rynek”, więc nie zawężam do samego miasta."]
+    p = assistant.plan({"cities": ["ŁÓDŹ", "lodz"], "near": [{"latitude": 54.95, "longitude": 14.0, "place": "plaża", "radius_m": 100}], "sort": "price_value", "direction": "asc"}, facets)
+    assert (p.query.cities, p.query.radius_m, p.query.sort, p.query.direction, p.warnings) == (["Łódź"], 300, "price_value", "asc", [])
+    p = assistant.plan({"near": [{"latitude": 40.0, "longitude": 14.0, "place": "Rzym"}]}, facets)
+    assert p.query.radius_m is None and p.warnings == ["Nie znam położenia miejsca „Rzym”, pomijam szukanie wokół niego."]
+
+
+def test_ranking(spark):
+    cards = spark.createDataFrame([(i,) for i in range(1, 6)], "id long")
+    said = [{"ad_id": 2, "fit_score": 5, "headline": " a "}, {"ad_id": 9, "fit_score": 9}, {"ad_id": 2, "fit_score": 8}, {"ad_id": 3, "fit_score": 5, "matches": ["x", " "], "gaps": ["y"]}, {"ad_id": 1, "fit_score": 7}]
+    got = [(r.id, r.fit_score, r.headline, r.matches, r.gaps) for r in assistant.ranked(spark, cards, said).collect()]
+    assert got == [(1, 7, "", [], []), (2, 5, "a", [], []), (3, 5, "", ["x"], ["y"])]
+
+
+def test_code_labels(spark):
+    codes = ["BLOCK", "ODD_ONE", "", None]
+    assert values(spark, [(c,) for c in codes], "a string", labels.code_label(F.col("a"), "building_types")) == ["Blok", "Odd one", "", None]
+    assert values(spark, [(c,) for c in ("", "ALL")], "a string", labels.code_label(F.col("a"), "markets")) == ["Nie podano", "Bez podziału"]
 
 
 def test_scoring_keeps_failures(spark):
