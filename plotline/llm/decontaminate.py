@@ -4,13 +4,15 @@ Words are stripped of outer punctuation and lower-cased; numbers, names (capital
 become typed placeholders. Windows of template words of documents are hash-joined to those of the benchmark, and the
 windows of a document and an item that lie on one diagonal form runs. A run counts if its slots are consistent:
 along it, each value of the item stands for one value of the document and the other way round. So a
-question with other numbers, names or units is caught, and one whose slots do not correspond is not.
+question with other numbers, names or units is caught, and one whose slots do not correspond is not. A window of nothing but
+slots says nothing as a template and is compared by its words; so rows of numbers don't meet all rows of numbers.
 
 A document holds an item if a consistent run covers `covered` template words, or the whole item if it is shorter. Items
-of fewer than `least` words are not looked for, as any text could hold them.
+of fewer than `least` words are not looked for, as most texts could hold them; with 1 all are.
 
 Null and empty texts hold nothing; rows with null ids (of documents or items) can't be named and are left out; a
-repeated row gives its pairs once. Either table may be empty.
+repeated row gives its pairs once. Unlike texts under one id are compared each for itself, and the longest run of any of them is told.
+Either table may be empty. What is gathered for a document, an item and a diagonal is no more than the item's windows.
 """
 
 import re
@@ -91,83 +93,89 @@ def windows(template_words: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-SCHEMA = "{0} long, hash long, pos int, size int, words binary, slots binary{1}"
+def keys(template_words: np.ndarray, plain: np.ndarray, slot: np.ndarray, size: int) -> np.ndarray:
+    """As windows, with the words themselves where a window has no other than slots."""
+    h = windows(template_words, size)
+    if len(h):
+        held = np.concatenate([np.zeros(1, np.int64), np.cumsum(slot)])
+        bare = np.flatnonzero(held[size:] - held[:-size] == size)
+        if len(bare):
+            h[bare] = ~windows(plain[bare[:, None] + np.arange(size)].ravel(), size)[::size]
+    return h
+
+
+SCHEMA = "{0} long, uid long, hash long, pos int, size int, words binary, slots binary{1}"
 
 
 def _windowed(df: DataFrame, name: str, sizes: list[int] | None, only: np.ndarray | None, size: int, least: int) -> DataFrame:
     """A row for each window (of documents: of those in `only` if it is given). sizes: None for the benchmark, whose items have windows of one size each."""
     item = sizes is None
+    kinds = {name: pa.int64(), "uid": pa.int64(), "hash": pa.int64(), "pos": pa.int32(), "size": pa.int32(), "words": pa.binary(), "slots": pa.binary()} | ({"total": pa.int32()} if item else {})
 
     def run(batches):
         for b in batches:
-            out = {k: [] for k in (name, "hash", "pos", "size", "words", "slots", "total")}
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            out = []
+            for i, uid, text in zip(b.column("doc_id").to_pylist(), b.column("uid").to_pylist(), b.column("text").to_pylist()):
                 t, plain, slot = template(codes(text))
                 for s in [min(size, len(t))] if item else sizes:
                     if s < least or len(t) < s:
                         continue
-                    h = windows(t, s)
+                    h = keys(t, plain, slot, s)
                     at = np.arange(len(h))
                     if only is not None:
                         near = np.searchsorted(only, h)
                         at = np.flatnonzero(only[np.minimum(near, len(only) - 1)] == h)
-                    for p in at.tolist():
-                        for k, v in ((name, i), ("hash", int(h[p].view(np.int64))), ("pos", p), ("size", s), ("words", plain[p : p + s].tobytes()), ("slots", slot[p : p + s].tobytes()), ("total", len(t))):
-                            out[k].append(v)
-            kinds = {name: pa.int64(), "hash": pa.int64(), "pos": pa.int32(), "size": pa.int32(), "words": pa.binary(), "slots": pa.binary()} | ({"total": pa.int32()} if item else {})
-            yield pa.RecordBatch.from_pydict({k: pa.array(out[k], v) for k, v in kinds.items()})
+                    out += [(i, uid, int(h[p].view(np.int64)), p, s, plain[p : p + s].tobytes(), slot[p : p + s].tobytes(), len(t))[: len(kinds)] for p in at.tolist()]
+            columns = zip(*out) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, v) for c, v in zip(columns, kinds.values())], list(kinds))
 
-    return df.where("doc_id IS NOT NULL").mapInArrow(run, SCHEMA.format(name, ", total int" if item else ""))
+    named = df.where("doc_id IS NOT NULL").withColumn("uid", F.xxhash64("text"))
+    return named.mapInArrow(run, SCHEMA.format(name, ", total int" if item else ""))
 
 
 def longest_run(hits: list, total: int, covered: int) -> tuple[int, int, int, bool] | None:
     """hits: (pos in item, pos in document, item's words, document's words, slots) of one diagonal.
 
-    The longest consistent run as (words, start in document, start in item, whether all words are equal).
+    The longest run of matched words whose slots are consistent, the first of several, as (words, start in document, start in
+    item, whether all words are equal). Both ends of the run move on: its start as far as a slot at its end asks for.
     """
-    best = None
-    run: list[tuple[int, int, bytes, bytes]] = []
-
-    def closed():
-        nonlocal best
-        there, here, plain, start, doc_start, words = {}, {}, True, None, None, 0
-        seen = -1
-        for p, q, a, b, slots in run:
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            for k in range(max(0, seen + 1 - p), len(a)):
-                x, y = int(a[k]), int(b[k])
-                if slots[k]:
-                    if there.setdefault(x, y) != y or here.setdefault(y, x) != x:  # inconsistent: a new run begins behind it
-                        if start is not None and (best is None or words > best[0]):
-                            best = (words, doc_start, start, plain)
-                        there, here, plain, start, doc_start, words = {x: y}, {y: x}, True, None, None, 0
-                if start is None:
-                    start, doc_start = p + k, q + k
-                words += 1
-                plain &= x == y
-            seen = p + len(a) - 1
-        if start is not None and (best is None or words > best[0]):
-            best = (words, doc_start, start, plain)
-
-    for h in sorted(hits):
-        if run and h[0] > run[-1][0] + len(run[-1][2]) // 8:  # a gap: what lies between the windows did not match
-            closed()
-            run = []
-        run.append(h)
-    closed()
-    return best if best and best[0] >= min(covered, total) else None
+    places: list[tuple[int, int, int, int, bool]] = []  # pos in item, pos in document, item's word, document's word, slot
+    for p, q, a, b, slots in sorted(hits):
+        a, b = np.frombuffer(a, np.uint64).tolist(), np.frombuffer(b, np.uint64).tolist()
+        seen = places[-1][0] if places else -1
+        places += [(p + k, q + k, a[k], b[k], bool(slots[k])) for k in range(max(0, seen + 1 - p), len(a))]
+    best, start = None, 0
+    there: dict[int, list[int]] = {}  # item's value: [document's value, how often in the run]
+    here: dict[int, int] = {}
+    for end, (p, q, x, y, slot) in enumerate(places):
+        while start < end and (p > places[end - 1][0] + 1 or slot and (there.get(x, [y])[0] != y or here.get(y, x) != x)):
+            _, _, u, v, was_slot = places[start]
+            start += 1
+            if was_slot:
+                there[u][1] -= 1
+                if not there[u][1]:
+                    del there[u], here[v]
+        if slot:
+            there.setdefault(x, [y, 0])[1] += 1
+            here[y] = x
+        if best is None or end + 1 - start > best[1] - best[0]:
+            best = (start, end + 1)
+    if best is None or best[1] - best[0] < min(covered, total):
+        return None
+    run = places[best[0] : best[1]]
+    return len(run), run[0][1], run[0][0], all(x == y for _, _, x, y, _ in run)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = WINDOW, least: int = LEAST, covered: int = COVERED) -> DataFrame:
     """doc_id, item_id, n_words, doc_start, item_start (in words), same_words: one row for each document and item it holds."""
     docs, items = id_text(df, id_col, text_col), id_text(benchmark, item_col, text_col)
-    known = _windowed(items, "item_id", None, None, size, least).dropDuplicates(["item_id", "pos"])
+    known = _windowed(items, "item_id", None, None, size, least).dropDuplicates(["item_id", "uid", "pos"]).withColumnRenamed("uid", "item_uid")
     hashes = known.select("hash", "size").distinct().limit(FILTER_ROWS + 1).toArrow()
     only = np.unique(np.array(hashes.column("hash").to_numpy(), np.int64).view(np.uint64)) if len(hashes) <= FILTER_ROWS else None
     sizes = sorted(set(range(least, size + 1))) if only is None else sorted(set(hashes.column("size").to_pylist()))
     found = _windowed(docs, "doc_id", sizes, only if only is None or len(only) else np.zeros(1, np.uint64), size, least)
-    pairs = found.dropDuplicates(["doc_id", "pos", "size"]).join(known.withColumnsRenamed({"pos": "item_pos", "words": "item_words", "slots": "item_slots"}), ["hash", "size"])
-    diagonals = pairs.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
+    pairs = found.dropDuplicates(["doc_id", "uid", "pos", "size"]).join(known.withColumnsRenamed({"pos": "item_pos", "words": "item_words", "slots": "item_slots"}), ["hash", "size"])
+    diagonals = pairs.groupBy("doc_id", "uid", "item_id", "item_uid", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(
         F.collect_list(F.struct("item_pos", "pos", "item_words", "words", "slots")).alias("hits"), F.max("total").alias("total")
     )
 
