@@ -1,7 +1,7 @@
 """Spatial joins on grid cells: an equi-join on cells finds who may be near, an exact test decides.
 
-Grids are as wide as the search, so a position meets at most nine cells; longitudes are cut by the highest latitude in
-the data. No side is broadcast unless Spark finds it small.
+Cells are as high as the search reaches, and in each row of them as wide as it reaches anywhere in that row or the next ones; so a position meets
+nine cells at most, at any latitude, and no table has to be looked through first. No side is broadcast unless Spark finds it small.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -10,25 +10,33 @@ from pyspark.sql import functions as F
 from ..functions import geo
 
 
-def highest_latitude(*tables: tuple[DataFrame, str]) -> float:
-    """The largest absolute latitude: one number from each table."""
-    return max((df.agg(F.max(F.abs(lat))).first()[0] or 0.0) for df, lat in tables)
+def row_of(lat: Column, metres: float) -> Column:
+    return geo.cell(lat, metres / geo.METRES_PER_DEGREE * 1.0001)
 
 
-def neighbours(lat: Column, lon: Column, dlat: float, dlon: float) -> Column:
-    """The cell of a position and the eight around it, as struct y, x."""
-    y, x = geo.cell(lat, dlat), geo.cell(lon, dlon)
-    return F.array(*(F.struct((y + i).alias("y"), (x + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+def column_of(row: Column, lon: Column, metres: float) -> Column:
+    """The cell of a longitude in a row of cells."""
+    highest = F.least((F.greatest(F.abs(row), F.abs(row + 1)) + 1) * (metres / geo.METRES_PER_DEGREE * 1.0001), F.lit(89.4))
+    return geo.cell(lon, metres / geo.METRES_PER_DEGREE * 1.0001 / F.cos(F.radians(highest)))
+
+
+def cell_of(lat: Column, lon: Column, metres: float) -> Column:
+    row = row_of(lat, metres)
+    return F.struct(row.alias("y"), column_of(row, lon, metres).alias("x"))
+
+
+def neighbours(lat: Column, lon: Column, metres: float) -> Column:
+    """The cell of a position and those around it, as struct y, x."""
+    row = row_of(lat, metres)
+    return F.array(*(F.struct((row + i).alias("y"), (column_of(row + i, lon, metres) + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, metres: float, keys: list[str] = (), lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Pairs within so many metres with equal keys: left's columns, right's as r_*, and distance_m. Missing positions pair with none."""
-    top = highest_latitude((left, lat), (right, lat))
-    dlat, dlon = metres / geo.METRES_PER_DEGREE * 1.0001, geo.lon_degrees(metres, top + 0.1) * 1.0001
     known = lambda df: df.where(geo.has_position(F.col(lat), F.col(lon)))
-    a = known(left).withColumn("_cell", F.explode(neighbours(F.col(lat), F.col(lon), dlat, dlon)))
+    a = known(left).withColumn("_cell", F.explode(neighbours(F.col(lat), F.col(lon), metres)))
     r = known(right)
-    r = r.select(*(F.col(c).alias(f"r_{c}") for c in r.columns), F.struct(geo.cell(F.col(lat), dlat).alias("y"), geo.cell(F.col(lon), dlon).alias("x")).alias("_rcell"))
+    r = r.select(*(F.col(c).alias(f"r_{c}") for c in r.columns), cell_of(F.col(lat), F.col(lon), metres).alias("_rcell"))
     met = F.col("_cell") == F.col("_rcell")
     for k in keys:
         met = met & (F.col(k) == F.col(f"r_{k}"))
@@ -43,39 +51,62 @@ def nearest(left: DataFrame, right: DataFrame, metres: float, key: str, take: li
     return pairs.groupBy(key).agg(first.alias("n")).select(key, "n.distance_m", *(F.col(f"n.{c}").alias(c) for c in take))
 
 
-def covering_cells(lat1: Column, lon1: Column, lat2: Column, lon2: Column, dlat: float, dlon: float, rim: int = 0) -> Column:
-    """All cells of the box between two corners, and so many around it, as struct y, x."""
-    ys = F.sequence(geo.cell(F.least(lat1, lat2), dlat) - rim, geo.cell(F.greatest(lat1, lat2), dlat) + rim)
-    xs = F.sequence(geo.cell(F.least(lon1, lon2), dlon) - rim, geo.cell(F.greatest(lon1, lon2), dlon) + rim)
-    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(y.alias("y"), x.alias("x")))))
+def covering_cells(side: Column, metres: float) -> Column:
+    """The cells of the box around a side and those around it, as struct y, x."""
+    ys = F.sequence(row_of(F.least(side["lat1"], side["lat2"]), metres) - 1, row_of(F.greatest(side["lat1"], side["lat2"]), metres) + 1)
+
+    def across(y):
+        xs = F.sequence(column_of(y, F.least(side["lon1"], side["lon2"]), metres) - 1, column_of(y, F.greatest(side["lon1"], side["lon2"]), metres) + 1)
+        return F.transform(xs, lambda x: F.struct(y.alias("y"), x.alias("x")))
+
+    return F.flatten(F.transform(ys, across))
+
+
+def area_cells(areas: DataFrame, take: list[str], size: float) -> DataFrame:
+    """The cells of areas: take, y, x, whole (no side touches the cell, and it lies inside) and, for others, the sides on which it depends.
+
+    A cell on the border carries the sides in its row that are not west of it; one wholly inside carries none, one outside is left out.
+    """
+    side = F.col("side")
+    low, high = F.least(side["lat1"], side["lat2"]), F.greatest(side["lat1"], side["lat2"])
+    dealt = areas.select(*take, F.explode("sides").alias("side")).withColumn("y", F.explode(F.sequence(geo.cell(low, size), geo.cell(high, size))))
+    rows = dealt.groupBy(*take, "y").agg(F.collect_list("side").alias("sides"), F.min(F.least(side["lon1"], side["lon2"])).alias("west"), F.max(F.greatest(side["lon1"], side["lon2"])).alias("east"))
+    cells = rows.withColumn("x", F.explode(F.sequence(geo.cell(F.col("west"), size), geo.cell(F.col("east"), size))))
+    left, right = F.col("x") * size, (F.col("x") + 1) * size
+    kept = F.filter("sides", lambda e: F.greatest(e["lon1"], e["lon2"]) >= left)
+    cells = cells.select(*take, "y", "x", kept.alias("sides"), left.alias("left"), right.alias("right"))
+    touched = F.exists("sides", lambda e: F.least(e["lon1"], e["lon2"]) <= F.col("right"))
+    inside = geo.inside(F.col("sides"), (F.col("y") + 0.5) * size, (F.col("left") + F.col("right")) / 2)
+    none = F.slice("sides", 1, 0)
+    return cells.select(*take, "y", "x", (~touched).alias("whole"), F.when(touched, F.col("sides")).otherwise(none).alias("sides"), inside.alias("_in")).where(~F.col("whole") | F.col("_in")).drop("_in")
 
 
 def containing(points: DataFrame, areas: DataFrame, key: str, take: list[str], cell_degrees: float = 0.05) -> DataFrame:
     """key and an area's columns to take, for each point inside an area (areas: sides, as geo.outer_sides gives). Of several areas the first by its columns."""
-    lats, lons = F.flatten(F.transform("sides", lambda e: F.array(e["lat1"], e["lat2"]))), F.flatten(F.transform("sides", lambda e: F.array(e["lon1"], e["lon2"])))
-    boxed = areas.select(*take, "sides", F.array_min(lats).alias("s"), F.array_min(lons).alias("w"), F.array_max(lats).alias("n"), F.array_max(lons).alias("e"))
-    cells = boxed.withColumn("_cell", F.explode(covering_cells(F.col("s"), F.col("w"), F.col("n"), F.col("e"), cell_degrees, cell_degrees)))
-    at = points.where(geo.has_position(F.col("latitude"), F.col("longitude"))).select(
-        key, "latitude", "longitude", F.struct(geo.cell(F.col("latitude"), cell_degrees).alias("y"), geo.cell(F.col("longitude"), cell_degrees).alias("x")).alias("_cell")
-    )
-    met = at.join(cells, "_cell").where(F.col("latitude").between(F.col("s"), F.col("n")) & F.col("longitude").between(F.col("w"), F.col("e")))
-    held = met.where(geo.inside(F.col("sides"), F.col("latitude"), F.col("longitude")))
+    lat, lon = F.col("latitude"), F.col("longitude")
+    at = points.where(geo.has_position(lat, lon)).select(key, "latitude", "longitude", geo.cell(lat, cell_degrees).alias("y"), geo.cell(lon, cell_degrees).alias("x"))
+    held = at.join(area_cells(areas, take, cell_degrees), ["y", "x"]).where(F.col("whole") | geo.inside(F.col("sides"), lat, lon))
     return held.groupBy(key).agg(F.min(F.struct(*take)).alias("a")).select(key, *(F.col(f"a.{c}").alias(c) for c in take))
 
 
+def within_area(points: DataFrame, areas: DataFrame, metres: float, key: str) -> DataFrame:
+    """The keys of points inside an area or within so many metres of its border. areas: sides."""
+    inside = containing(points.select(key, "latitude", "longitude"), areas.select(F.lit(True).alias("_here"), "sides"), key, ["_here"]).select(key)
+    if not metres:
+        return inside
+    border = areas.select(F.explode("sides").alias("e")).select(F.array(F.struct(F.col("e.lat1").alias("lat"), F.col("e.lon1").alias("lon")), F.struct(F.col("e.lat2").alias("lat"), F.col("e.lon2").alias("lon"))).alias("points"))
+    return inside.unionByName(nearest_line(points, border, metres, key, []).select(key)).distinct()
+
+
 def nearest_line(points: DataFrame, lines: DataFrame, metres: float, key: str, take: list[str], keys: list[str] = ()) -> DataFrame:
     """For each point the nearest line (lines: points, an array of struct lat, lon) within so many metres, on lines with equal keys.
 
     Lines are taken apart into sides, each dealt to the cells around it; so a long line is no hot spot.
     """
     sides = lines.select(*keys, *(c for c in take if c not in keys), F.explode(geo.edges(F.col("points"))).alias("side"))
-    top = highest_latitude((points, "latitude"))
-    dlat, dlon = metres / geo.METRES_PER_DEGREE * 1.0001, geo.lon_degrees(metres, top + 0.1) * 1.0001
     s = F.col("side")
-    dealt = sides.withColumn("_cell", F.explode(covering_cells(s["lat1"], s["lon1"], s["lat2"], s["lon2"], dlat, dlon, 1)))
-    at = points.where(geo.has_position(F.col("latitude"), F.col("longitude"))).select(
-        key, *keys, "latitude", "longitude", F.struct(geo.cell(F.col("latitude"), dlat).alias("y"), geo.cell(F.col("longitude"), dlon).alias("x")).alias("_cell")
-    )
+    dealt = sides.withColumn("_cell", F.explode(covering_cells(s, metres)))
+    at = points.where(geo.has_position(F.col("latitude"), F.col("longitude"))).select(key, *keys, "latitude", "longitude", cell_of(F.col("latitude"), F.col("longitude"), metres).alias("_cell"))
     near = at.join(dealt, ["_cell", *keys]).withColumn("distance_m", geo.side_distance(s, F.col("latitude"), F.col("longitude"))).where(F.col("distance_m") <= metres)
     best = near.groupBy(key).agg(F.min(F.struct("distance_m", *take)).alias("b"))
     return best.select(key, "b.distance_m", *(F.col(f"b.{c}").alias(c) for c in take))
@@ -94,12 +125,8 @@ def beyond_runways(points: DataFrame, runways: DataFrame, key: str, length_m: fl
     size = F.nullif(F.sqrt(east * east + north * north), F.lit(0.0))
     told = ends.select("label", b["lat"].alias("end_lat"), b["lon"].alias("end_lon"), F.coalesce(east / size, F.lit(0.0)).alias("east"), F.coalesce(north / size, F.lit(0.0)).alias("north"))
     reach = (length_m + half_width_m + widening * length_m) * 1.0001
-    top = highest_latitude((points, "latitude"), (told, "end_lat"))
-    dlat, dlon = reach / geo.METRES_PER_DEGREE, geo.lon_degrees(reach, top + 0.2)
-    dealt = told.withColumn("_cell", F.explode(neighbours(F.col("end_lat"), F.col("end_lon"), dlat, dlon)))
-    at = points.where(geo.has_position(F.col("latitude"), F.col("longitude"))).select(
-        key, "latitude", "longitude", F.struct(geo.cell(F.col("latitude"), dlat).alias("y"), geo.cell(F.col("longitude"), dlon).alias("x")).alias("_cell")
-    )
+    dealt = told.withColumn("_cell", F.explode(neighbours(F.col("end_lat"), F.col("end_lon"), reach)))
+    at = points.where(geo.has_position(F.col("latitude"), F.col("longitude"))).select(key, "latitude", "longitude", cell_of(F.col("latitude"), F.col("longitude"), reach).alias("_cell"))
     dx = (F.col("longitude") - F.col("end_lon")) * geo.METRES_PER_DEGREE * F.cos(F.radians("end_lat"))
     dy = (F.col("latitude") - F.col("end_lat")) * geo.METRES_PER_DEGREE
     along, aside = dx * F.col("east") + dy * F.col("north"), F.abs(dx * F.col("north") - dy * F.col("east"))

@@ -96,6 +96,70 @@ def test_runway(spark):
     assert [r.id for r in got] == [1] and abs(got[0].approach_m - 5000) < 200
 
 
+@pytest.mark.parametrize("base", [(50.0, 19.8), (-0.01, 0.01), (69.5, -30.0)])
+def test_near_pairs_and_lines_at_any_latitude(spark, base):
+    import math
+    import random
+
+    rng = random.Random(5)
+    at = [(i, base[0] + rng.uniform(0, 0.05), base[1] + rng.uniform(0, 0.1)) for i in range(150)]
+    df = spark.createDataFrame(at, "id long, latitude double, longitude double")
+
+    def apart(a, b):
+        dy, dx = (b[1] - a[1]) * 111_320, (b[2] - a[2]) * 111_320 * math.cos(math.radians((a[1] + b[1]) / 2))
+        return math.hypot(dx, dy)
+
+    got = {(r.id, r.r_id) for r in spatial.near_pairs(df, df, 700).collect()}
+    assert got == {(a[0], b[0]) for a in at for b in at if apart(a, b) <= 700}
+
+    ways = [(k, [(base[0] + rng.uniform(0, 0.05), base[1] + rng.uniform(0, 0.1)) for _ in range(3)]) for k in range(12)]
+    lines = spark.createDataFrame(ways, "line long, points array<struct<lat: double, lon: double>>")
+
+    def to_line(a, points):
+        best = math.inf
+        for (y1, x1), (y2, x2) in zip(points, points[1:]):
+            k = math.cos(math.radians(a[1]))
+            px, py, dx, dy = (x1 - a[2]) * k, y1 - a[1], (x2 - x1) * k, y2 - y1
+            t = max(0.0, min(1.0, -(px * dx + py * dy) / (dx * dx + dy * dy)))
+            best = min(best, math.hypot(px + t * dx, py + t * dy) * 111_320)
+        return best
+
+    near = {r.id: (r.line, round(r.distance_m, 3)) for r in spatial.nearest_line(df, lines, 300, "id", ["line"]).collect()}
+    want = {a[0]: min((to_line(a, w), k) for k, w in ways) for a in at}
+    assert near == {i: (k, round(d, 3)) for i, (d, k) in want.items() if d <= 300}
+
+
+def test_containing_areas_of_many_cells(spark):
+    """An area with a hole and a bay over many cells, another beside it; points on all sides of them."""
+    import random
+
+    rng = random.Random(6)
+    outer = [(50.0, 19.0), (50.0, 20.0), (50.33, 20.1), (50.21, 19.61), (50.61, 19.5), (50.5, 19.0), (50.0, 19.0)]
+    hole = [(50.11, 19.2), (50.11, 19.4), (50.22, 19.4), (50.22, 19.2), (50.11, 19.2)]
+    beside = [(50.0, 20.0), (50.0, 20.02), (50.02, 20.02), (50.02, 20.0), (50.0, 20.0)]
+    pt = "array<array<struct<lat: double, lon: double>>>"
+    areas = spark.createDataFrame([("big", [outer, hole]), ("small", [beside])], f"name string, rings {pt}").select("name", geo.outer_sides(F.col("rings")).alias("sides"))
+    at = [(i, rng.uniform(49.9, 50.7), rng.uniform(18.9, 20.2)) for i in range(1500)]
+    at += [(2000 + i, rng.uniform(49.99, 50.03), rng.uniform(19.99, 20.03)) for i in range(200)]
+
+    def held(y, x, rings):
+        n = 0
+        for ring in rings:
+            for (y1, x1), (y2, x2) in zip(ring, ring[1:]):
+                n += (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        return n % 2 == 1
+
+    want = {i: "big" if held(y, x, [outer, hole]) else "small" for i, y, x in at if held(y, x, [outer, hole]) or held(y, x, [beside])}
+    df = spark.createDataFrame(at, "id long, latitude double, longitude double")
+    assert {r.id: r.name for r in spatial.containing(df, areas, "id", ["name"]).collect()} == want
+    cells = spatial.area_cells(areas, ["name"], 0.05).collect()
+    assert any(c.whole and not c.sides for c in cells) and {"big", "small"} == set(want.values())
+    near = {r.id for r in spatial.within_area(df, areas, 2000, "id").collect()}
+    sides = areas.select(F.explode("sides").alias("e"))
+    close = df.join(sides, geo.side_distance(F.col("e"), F.col("latitude"), F.col("longitude")) <= 2000, "left_semi")
+    assert near == set(want) | {r.id for r in close.collect()}
+
+
 def flats(spark, rows):
     return spark.createDataFrame(rows, "id long, group_id long, kind string, latitude double, longitude double, area double, price_per_m2 double")
 
@@ -197,17 +261,6 @@ def test_lineage_of_monthly_relistings(spark):
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9}
 
 
-def test_clusters_agree_in_rounds(spark):
-    import random
-
-    rng = random.Random(4)
-    links = [(a, b, "text", rng.random()) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.12]
-    against = [(a, b) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.05]
-    ls = spark.createDataFrame(links, "a_id long, b_id long, kind string, score double")
-    foes = spark.createDataFrame(against, "a_id long, b_id long")
-    assert {r.id: r.cluster for r in lineage.clusters(ls, foes).collect()} == {r.id: r.cluster for r in lineage.clusters_in_rounds(ls, foes).collect()}
-
-
 def test_developer_score(spark):
     s = lambda street, rooms, price: one(spark, developer.score(F.lit(street), F.lit("dluga"), F.lit(rooms), F.lit(3), F.lit(price), F.lit(998_000), F.lit(1_017_600), F.lit(None).cast("int")).alias("s")).s
     assert s("dluga", 3, 998_000) == 5 and s("inna", 3, 998_000) == 3 and s("dluga", 2, 998_000) == 2 and s("dluga", 3, 2_000_000) == 0 and s(None, None, 1_040_000) == 1
