@@ -61,7 +61,8 @@ def link_quotes(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     marked = rows.where(F.col("text").rlike(r"(?m)^[ \t]*>")).dropDuplicates(["mid"])
     quoted_lines = stash(_lines(marked), "quoted")
     quotes = (
-        passages(quoted_lines.where("level > 0"))
+        passages(quoted_lines)
+        .where("level > 0")
         .select("mid", "conv_id", "turn", "level", "first", _norm(F.col("text")).alias("norm"), _filled(F.split("text", "\n", -1)).alias("filled"))
         .where(F.col("norm").rlike(r"[\p{L}\p{N}]"))
         .select("mid", "conv_id", "turn", "level", "first", *_key(F.col("norm")), F.xxhash64(F.col("filled")[0]).alias("head"), F.size("filled").alias("many"))
