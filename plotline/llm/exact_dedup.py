@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import id_text, stash
 
-SALTS = 16
+#: Texts of a fingerprint that counts more than HOT and more than a HOT_SHARE of all rows are dealt over SALTS tasks; so no more than 1 / HOT_SHARE fingerprints are sent to all.
+SALTS, HOT, HOT_SHARE = 16, 5_000, 1e-5
 
 
 class QuotientFilter:
@@ -131,8 +132,11 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = ids.count()
     blocks = 1 << min(16, max(4, (rows // 100_000).bit_length()))
     repeated = stash(repeated_fingerprints(ids, blocks), "repeated")
-    salted = repeated.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    texts = normalised(docs, True).withColumn("salt", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)).cast("int"))
+    is_hot = F.col("n") > max(HOT, int(rows * HOT_SHARE))
+    salted = repeated.select("fp", F.explode(F.sequence(F.lit(0), F.when(is_hot, SALTS - 1).otherwise(0))).alias("salt"))
+    hot = repeated.where(is_hot).select("fp", F.lit(True).alias("hot"))
+    texts = normalised(docs, True).join(F.broadcast(hot), "fp", "left")
+    texts = texts.withColumn("salt", F.when(F.col("hot"), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS))).otherwise(0).cast("int"))
     same = texts.join(salted, ["fp", "salt"]).groupBy("fp", "salt", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     groups = (
         same.groupBy("fp", "norm")
