@@ -6,9 +6,10 @@ vocabulary allows, else four), part-p.off (where each document ends, in ids from
 name of the attempt and renamed, so retried and speculative tasks leave whole files.
 
 Null texts are empty texts; a null id sorts first and is read back as null. Rows that repeat an id are separate
-documents. An empty table gives no rows.
+documents, in the order of their texts. An empty table gives no rows.
 """
 
+import json
 import os
 import zlib
 from itertools import accumulate
@@ -42,6 +43,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        told = json.loads(self.tokenizer.to_str())
+        #: Whether pieces may be encoded apart: nothing rewrites a text before it is cut, and it is cut at each space as GPT-2 does.
+        self.by_pieces = told.get("normalizer") is None and (told.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and told["pre_tokenizer"].get("use_regex", True) and not told["pre_tokenizer"].get("add_prefix_space")
         self.length_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # in bytes; byte-level tokens have a letter for each byte
         for token, i in self.tokenizer.get_vocab().items():
             self.length_of[i] = len(token)
@@ -55,12 +59,16 @@ class PieceEncoder:
         """The ids of each piece with a space before it, from one call: the pieces are cut apart by the tokens' lengths."""
         data = self.whole("".join([f" {p}" for p in pieces]))
         ends = np.cumsum(self.length_of[np.frombuffer(data, self.kind)])
-        cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) + 1 for p in pieces]), side="right") * self.kind.itemsize
+        places = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        cuts = np.searchsorted(ends, places, side="right") * self.kind.itemsize
+        if not np.array_equal(ends[cuts // self.kind.itemsize - 1], places):  # a token reaches over a space: pieces can't be told apart
+            self.by_pieces = False
+            return {p: self.whole(f" {p}") for p in pieces}
         return {p: data[a:b] for p, a, b in zip(pieces, [0, *cuts.tolist()], cuts.tolist())}
 
     def encode(self, text: str) -> bytes:
         first, *pieces = text.split(" ")
-        if first[-1:].isspace():
+        if not self.by_pieces or first[-1:].isspace():
             return self.whole(text)
         out, new = self.known.many(pieces)
         if new:
@@ -105,7 +113,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str, end_id: int |
     What comes to the driver is one row for each partition.
     """
     n = partitions(df.sparkSession)
-    ordered = id_text(df, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = id_text(df, id_col, text_col).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
         enc = encoder(tokenizer)
