@@ -1,6 +1,8 @@
 """Keyed tables kept up to date by rewriting: plain Parquet has no MERGE, so a new version is the join of the old one with what is new."""
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_masked
@@ -18,6 +20,60 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], replace: list[str], f
     return j.select(*key, *(out[c].alias(c) for c in columns if c not in key))
 
 
+def backdated(units: DataFrame, earlier: DataFrame) -> DataFrame:
+    """units with what an older list told of them (id, observed_at, price): it begins their history where it is older than that, and counts for their lowest and highest price."""
+    e = earlier.groupBy("id").agg(F.min_by(F.struct("observed_at", "price"), F.struct("observed_at", "price")).alias("_e"))
+    j = units.join(e, "id", "left")
+    older = F.coalesce(F.col("_e.observed_at") < F.col("first_seen"), F.lit(False))
+    told = {"first_seen": F.col("_e.observed_at"), "first_price": F.col("_e.price"), "lowest_price": F.least("lowest_price", "_e.price"), "highest_price": F.greatest("highest_price", "_e.price")}
+    return j.withColumns({c: F.when(older, v).otherwise(F.col(c)) for c, v in told.items()}).drop("_e")
+
+
+def restarted(units: DataFrame, prices: DataFrame, anew: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(units, prices) after units were renumbered (anew: id, observed_at, price): their history begins there, and the prices before it (unit_id) go."""
+    a = anew.groupBy("id").agg(F.max_by(F.struct("observed_at", "price"), F.struct("observed_at", "price")).alias("_a"))
+    j = units.join(a, "id", "left")
+    told = {"first_seen": F.coalesce("_a.observed_at", "first_seen"), "first_price": F.when(F.col("_a").isNotNull(), F.col("_a.price")).otherwise(F.col("first_price"))}
+    return j.withColumns(told).drop("_a"), without(prices, anew, "unit_id", "id")
+
+
+def new_listings(stored: DataFrame, ads: DataFrame, raw: DataFrame, children: dict[str, DataFrame], now: Column) -> dict[str, DataFrame]:
+    """What a batch of adverts adds to each table: ads, raw payloads, a row for each child (by ad_id) and the first price observation.
+
+    Of an advert stored already nothing is added; of one that a batch holds twice the row that was modified last. ads: id, price, area, status, modified_at.
+    """
+    fresh = ads.join(stored.select("id"), "id", "left_anti").groupBy("id").agg(F.max_by(F.struct(*(c for c in ads.columns if c != "id")), "modified_at").alias("_a")).select("id", "_a.*")
+    ids = fresh.select(F.col("id").alias("ad_id"))
+    out = {"ads": fresh, "raw": raw.join(ids, "ad_id", "left_semi")} | {name: child.join(ids, "ad_id", "left_semi").distinct() for name, child in children.items()}
+    out["observations"] = fresh.where("price > 0").select(F.col("id").alias("ad_id"), now.alias("observed_at"), "price", "area", "status")
+    return out
+
+
+def publish(df: DataFrame, path: str) -> str:
+    """Writes df as a new version under path, which readers see once it is whole; earlier versions stay for those that read them. Returns its folder."""
+    folder = f"{path.rstrip('/')}/version={time.time_ns():020d}"
+    df.write.parquet(folder)
+    return folder
+
+
+def published(spark: SparkSession, path: str, version: int = -1) -> DataFrame:
+    """The newest whole version under path, or an earlier one (-2 the one before it)."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = sorted(s.getPath().toString() for s in fs.listStatus(top) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    return spark.read.parquet(folders[version])
+
+
+def rebuilt(df: DataFrame, path: str, columns: list[str]) -> str:
+    """Publishes a table that is made anew as a whole. Other columns than those asked for, or an empty key (the first column), are refused."""
+    if df.columns != columns:
+        raise ValueError(f"columns {df.columns} are not {columns}")
+    if not df.where(F.col(columns[0]).isNull()).isEmpty():
+        raise ValueError(f"rows without {columns[0]}")
+    return publish(df, path)
+
+
 def inserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """old, and the rows of new whose key it lacks, one of each."""
     return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti"), allowMissingColumns=True)

@@ -72,13 +72,11 @@ def area_cells(areas: DataFrame, take: list[str], size: float) -> DataFrame:
     dealt = areas.select(*take, F.explode("sides").alias("side")).withColumn("y", F.explode(F.sequence(geo.cell(low, size), geo.cell(high, size))))
     rows = dealt.groupBy(*take, "y").agg(F.collect_list("side").alias("sides"), F.min(F.least(side["lon1"], side["lon2"])).alias("west"), F.max(F.greatest(side["lon1"], side["lon2"])).alias("east"))
     cells = rows.withColumn("x", F.explode(F.sequence(geo.cell(F.col("west"), size), geo.cell(F.col("east"), size))))
-    left, right = F.col("x") * size, (F.col("x") + 1) * size
-    kept = F.filter("sides", lambda e: F.greatest(e["lon1"], e["lon2"]) >= left)
-    cells = cells.select(*take, "y", "x", kept.alias("sides"), left.alias("left"), right.alias("right"))
-    touched = F.exists("sides", lambda e: F.least(e["lon1"], e["lon2"]) <= F.col("right"))
-    inside = geo.inside(F.col("sides"), (F.col("y") + 0.5) * size, (F.col("left") + F.col("right")) / 2)
-    none = F.slice("sides", 1, 0)
-    return cells.select(*take, "y", "x", (~touched).alias("whole"), F.when(touched, F.col("sides")).otherwise(none).alias("sides"), inside.alias("_in")).where(~F.col("whole") | F.col("_in")).drop("_in")
+    kept = F.filter("sides", lambda e: F.greatest(e["lon1"], e["lon2"]) >= F.col("x") * size)
+    cells = cells.select(*take, "y", "x", kept.alias("sides"))
+    touched = F.exists("sides", lambda e: F.least(e["lon1"], e["lon2"]) <= (F.col("x") + 1) * size)
+    cells = cells.select(*take, "y", "x", (~touched).alias("whole"), "sides").where(~F.col("whole") | geo.inside(F.col("sides"), (F.col("y") + 0.5) * size, (F.col("x") + 0.5) * size))
+    return cells.withColumn("sides", F.when(F.col("whole"), F.slice("sides", 1, 0)).otherwise(F.col("sides")))
 
 
 def containing(points: DataFrame, areas: DataFrame, key: str, take: list[str], cell_degrees: float = 0.05) -> DataFrame:

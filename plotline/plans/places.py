@@ -66,13 +66,10 @@ def previous_sale(spark, sf):
     return comparables.previous_sale(t, s.select("id", "sold_at", "price", "area", "rooms", F.lit(None).cast("int").alias("floor"), "latitude", "longitude")).select("id", "sold_at", "price")
 
 
-@query(
-    f"""SELECT t.id, arg_min(s.id, (round({_DIST}, 4), s.id)) AS nearest FROM {FLATS_SQL} t JOIN {FLATS_SQL} s ON s.id % 20 = 0 AND s.id <> t.id AND {_DIST} <= 2000 GROUP BY t.id"""
-)
+@query(f"SELECT t.id, arg_min(s.id, (round({_DIST}, 4), s.id)) AS nearest FROM {FLATS_SQL} t JOIN {SALES_SQL} s ON {_DIST} <= 2000 GROUP BY t.id")
 def nearest_within(spark, sf):
-    df = flats(spark, sf)
-    pairs = spatial.near_pairs(df.select("id", "latitude", "longitude"), df.where("id % 20 = 0").select("id", "latitude", "longitude"), 2000).where("id <> r_id")
-    return pairs.groupBy("id").agg(F.min_by("r_id", F.struct(F.round("distance_m", 4), "r_id")).alias("nearest"))
+    """The sale nearest to each flat."""
+    return spatial.nearest(flats(spark, sf), sales(spark, sf).withColumnRenamed("id", "nearest"), 2000, "id", ["nearest"]).select("id", "nearest")
 
 
 def _squares(spark, sf):
@@ -102,13 +99,13 @@ def pin_checks(spark, sf):
 
 
 @query(
-    f"""WITH l AS (SELECT s_suppkey AS line, 50e0 + s_suppkey * 7 % 30 / 1e2 AS la, 198e-1 + s_suppkey * 11 % 40 / 1e2 AS lo FROM supplier WHERE s_suppkey < 40),
+    f"""WITH l AS (SELECT s_suppkey AS line, 50e0 + s_suppkey * 7 % 30 / 1e2 AS la, 198e-1 + s_suppkey * 11 % 40 / 1e2 AS lo FROM supplier),
     d AS (SELECT id, line, latitude, (lo - longitude) * cos(radians(latitude)) AS x1, la - latitude AS y1, 3e-2 * cos(radians(latitude)) AS dx, 1e-2 AS dy FROM {FLATS_SQL}, l),
     e AS (SELECT id, line, sqrt(power(x1 + greatest(0, least(1, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) * dx, 2) + power(y1 + greatest(0, least(1, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) * dy, 2)) * 111320 AS m FROM d)
     SELECT id, CAST(round_even(min(m), 0) AS INT) AS metres FROM e WHERE m <= 800 GROUP BY id"""
 )
 def nearest_line(spark, sf):
-    lines = read(spark, sf, "supplier").where("s_suppkey < 40").selectExpr("s_suppkey AS line", "50e0 + s_suppkey * 7 % 30 / 1e2 AS la", "198e-1 + s_suppkey * 11 % 40 / 1e2 AS lo")
+    lines = read(spark, sf, "supplier").selectExpr("s_suppkey AS line", "50e0 + s_suppkey * 7 % 30 / 1e2 AS la", "198e-1 + s_suppkey * 11 % 40 / 1e2 AS lo")
     pts = F.array(F.struct(F.col("la").alias("lat"), F.col("lo").alias("lon")), F.struct((F.col("la") + 1e-2).alias("lat"), (F.col("lo") + 3e-2).alias("lon")))
     got = spatial.nearest_line(flats(spark, sf), lines.select("line", pts.alias("points")), 800, "id", ["line"])
     return got.select("id", F.bround("distance_m", 0).cast("int").alias("metres"))

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import aggregates, domain, histories, places, searches, sources, texts  # noqa: E402, F401
+from . import aggregates, domain, filters, histories, places, searches, sources, texts, upkeep  # noqa: E402, F401

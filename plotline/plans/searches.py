@@ -5,7 +5,6 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import contains_ci
 from ..operators import search, stats
 from .registry import query
 from .tables import ADVERTS_SQL, FLATS_SQL, adverts, flats, read
@@ -72,22 +71,6 @@ def search_signals(spark, sf):
     return search.matching(_listings(spark, sf), q, _at()).select("id", F.col("days_on_market").alias("days"))
 
 
-@query(
-    """SELECT doc_id, CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'et') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), '50%') THEN 1 ELSE 0 END AS relevance,
-    text ILIKE '%die%' AS holds FROM documents"""
-)
-def text_search_relevance(spark, sf):
-    told = [F.coalesce(contains_ci(F.col("text"), k).cast("int"), F.lit(0)) for k in ("the", "et", "50%")]
-    return read(spark, sf, "documents").select("doc_id", (told[0] + told[1] + told[2]).alias("relevance"), F.col("text").ilike("%die%").alias("holds"))
-
-
-@query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE lower(r_name) IN ('europe', 'asia')))")
-def location_semi_join(spark, sf):
-    region = read(spark, sf, "region").where(F.lower("r_name").isin("europe", "asia"))
-    nation = read(spark, sf, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left_semi")
-    return read(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left_semi").select("c_custkey")
-
-
 _CODE = "CASE WHEN p_size = 1 THEN 'GROUND_FLOOR' WHEN p_size = 2 THEN 'CELLAR' WHEN p_size = 3 THEN 'FLOOR_HIGHER_10' WHEN p_size < 20 THEN concat('FLOOR_', CAST(p_size AS VARCHAR(5))) WHEN p_size < 30 THEN 'GARRET' END"
 
 
@@ -99,13 +82,6 @@ def floor_code_case(spark, sf):
     return read(spark, sf, "part").selectExpr("p_partkey", f"{_CODE} AS code").select("p_partkey", rules.floor_number(F.col("code")).alias("floor"))
 
 
-@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE o_totalprice IS NULL OR o_totalprice <= 50000")
-def nullable_max_passes(spark, sf):
-    o = read(spark, sf, "orders").where("o_orderstatus = 'P'")
-    j = read(spark, sf, "customer").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return j.where(F.col("o_totalprice").isNull() | (F.col("o_totalprice") <= 50_000)).select("c_custkey", "o_orderkey")
-
-
 _TYPES = {"url": "CASE WHEN p_partkey % 19 = 0 THEN '/inwestycja/x' ELSE '/oferta/x' END", "stored": "CASE WHEN p_partkey % 5 = 0 THEN 'HOUSE' END", "fl": "CASE WHEN p_partkey % 7 = 0 THEN 'FLOOR_1' END", "building": "CASE WHEN p_size = 4 THEN 'FARM' WHEN p_size = 5 THEN 'LOFT' END", "market": "CASE WHEN p_partkey % 3 = 0 THEN 'PRIMARY' END"}
 _TITLE = "CASE WHEN p_name LIKE '%ring' THEN concat('Piękny Dom, ', p_name) WHEN p_name LIKE '%bolt' THEN concat('Mieszkanie ', p_name) ELSE concat('Domofon ', p_name) END"
 
@@ -150,18 +126,6 @@ def features_all_any(spark, sf):
     return df.select(F.col("l_orderkey").alias("id"), search.features_all(f, ["A", "R"]).alias("has_all"), search.features_any(f, ["N", "R"]).alias("has_any"), F.size(f).alias("n"))
 
 
-@query(f"SELECT o_orderkey AS id FROM orders LEFT JOIN (SELECT l_orderkey, {_FLAGS}) ON l_orderkey = o_orderkey WHERE fs IS NULL OR NOT list_contains(fs, 'R')")
-def features_excluded(spark, sf):
-    flags = stats.collected(read(spark, sf, "lineitem"), "l_orderkey", "l_returnflag")
-    j = read(spark, sf, "orders").join(flags, F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return j.where(search.free_of_flags(F.col("values").isNotNull(), F.col("values"), ["R"])).select(F.col("o_orderkey").alias("id"))
-
-
-@query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') = '29'")
-def json_attribute_filter(spark, sf):
-    return read(spark, sf, "events").where(F.get_json_object("props", "$.k") == "29").select("event_id")
-
-
 @query(
     """WITH s AS (SELECT doc_id AS ad_id, CASE WHEN quality = 1 THEN 'passed' ELSE 'failed' END AS status, doc_id % 5 AS attempts, CASE WHEN doc_id % 4 = 0 THEN 'old' ELSE 'v2' END AS v FROM labels)
     SELECT d.doc_id AS id FROM documents d LEFT JOIN s ON s.ad_id = d.doc_id WHERE d.lang IN ('en', 'fr') AND (s.ad_id IS NULL OR v <> 'v2' OR (s.status = 'failed' AND attempts < 3))"""

@@ -7,12 +7,12 @@ from .registry import query
 from .tables import read
 
 
-@query("SELECT doc_id, length(strip_accents(lower(translate(left(text, 300), 'łŁßẞæœøđðþı', '-----------')))) AS n, strip_accents(translate(lower(left(regexp_replace(text, '[^a-zA-ZàâçéèêëîïôûùüÿñæœäöüßÀÉÊÇáíóú ,.]', '', 'g'), 200)), 'ßæœ', '---')) AS plain FROM documents")
+@query("SELECT doc_id, length(strip_accents(lower(translate(text, 'łŁßẞæœøđðþı', '-----------')))) AS n, strip_accents(translate(lower(regexp_replace(text, '[^a-zA-ZàâçéèêëîïôûùüÿñæœäöüßÀÉÊÇáíóú ,.]', '', 'g')), 'ßæœ', '---')) AS plain FROM documents")
 def normalize_name(spark, sf):
     c = F.col("text")
     kept = F.regexp_replace(c, "[^a-zA-ZàâçéèêëîïôûùüÿñæœäöüßÀÉÊÇáíóú ,.]", "")
-    plain = text.normalize_name(F.translate(F.lower(F.substring(kept, 1, 200)), "ßæœ", "---"))
-    n = F.length(text.normalize_name(F.translate(F.lower(F.translate(F.substring(c, 1, 300), "łŁßẞæœøđðþı", "-----------")), "ł", "-")))
+    plain = text.normalize_name(F.translate(F.lower(kept), "ßæœ", "---"))
+    n = F.length(text.normalize_name(F.translate(F.lower(F.translate(c, "łŁßẞæœøđðþı", "-----------")), "ł", "-")))
     return read(spark, sf, "documents").select("doc_id", n.alias("n"), plain.alias("plain"))
 
 
@@ -29,13 +29,13 @@ def parsed_numbers(spark, sf):
     return read(spark, sf, "events").where("value <> 0").select("event_id", numbers.lenient_float(said).alias("parsed"), numbers.change_pct(F.col("value"), F.lit(10.0)).alias("pct"))
 
 
-@query("SELECT o_orderkey, CAST(round_even(o_totalprice, 0) AS BIGINT) AS a, CAST(floor(o_totalprice) AS BIGINT) AS b, round(o_totalprice, 2) AS c FROM orders WHERE o_totalprice >= 1000")
+@query("SELECT o_orderkey, CAST(round_even(o_totalprice, 0) AS BIGINT) AS a, CAST(floor(o_totalprice) AS BIGINT) AS b, round(o_totalprice, 2) AS c FROM orders")
 def amounts(spark, sf):
     """Amounts written in three ways and read again."""
     p = F.col("o_totalprice")
     english, polish = F.format_number(p, 2), F.replace(F.format_number(F.floor(p), 0), F.lit(","), F.lit(" "))
     plain = F.replace(F.translate(F.format_number(p, 2), ",.", "_,"), F.lit("_"), F.lit("."))
-    return read(spark, sf, "orders").where("o_totalprice >= 1000").select("o_orderkey", numbers.amount(english).alias("a"), numbers.amount(F.concat(polish, F.lit(" zł"))).alias("b"), numbers.amount(plain, False).alias("c"))
+    return read(spark, sf, "orders").select("o_orderkey", numbers.amount(english).alias("a"), numbers.amount(F.concat(polish, F.lit(" zł"))).alias("b"), numbers.amount(plain, False).alias("c"))
 
 
 @query("SELECT p_partkey, upper(left(p_name, 1)) || lower(substr(p_name, 2)) AS label, 'street' || CAST(p_size AS VARCHAR) AS k, lower(p_type) AS place FROM part")

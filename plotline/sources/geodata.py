@@ -49,6 +49,15 @@ def ring(pos_list: Column, lat_first: bool = True) -> Column:
     return F.transform(at, lambda i: F.struct(F.get(n, i * 2 + a).alias("lat"), F.get(n, i * 2 + b).alias("lon")))
 
 
+def layer_parts(documents: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """code, name, ring of the outer rings in border documents (WFS members). Members without a code, a name or a ring are left out."""
+    member = F.explode(F.regexp_extract_all(F.col(xml_col), F.lit(r"(?s)<wfs:member\b[^>]*>(.*?)</wfs:member>"), F.lit(1))).alias("m")
+    tag = lambda name: F.nullif(F.trim(F.regexp_extract("m", rf"(?s)<ms:{name}\b[^>]*>(.*?)</ms:{name}>", 1)), F.lit(""))
+    outer = F.regexp_extract_all("m", F.lit(r"(?s)<gml:exterior\b.*?<gml:posList\b[^>]*>(.*?)</gml:posList>"), F.lit(1))
+    told = documents.select(member).select(tag("JPT_KOD_JE").alias("code"), tag("JPT_NAZWA_").alias("name"), F.explode(outer).alias("at"))
+    return told.where("code IS NOT NULL AND name IS NOT NULL").select("code", "name", ring(F.col("at")).alias("ring"))
+
+
 def areas(parts: DataFrame, gminas: DataFrame | None = None) -> DataFrame:
     """code, name, province_code, sides, area_km2 of areas from their parts (code, name, ring). Codes of a split city's parts are one by their first four digits.
 
