@@ -9,10 +9,14 @@ hash is its anchor: equal windows have equal anchors at equal places.
 
 1. Anchors (the hash of the span's words) are dealt by their hash; those that occur once are dropped, and so are all
    windows with them.
-2. The windows left are dealt by their anchor and compared by the hash of their words. Both steps stream: a task
-   holds what is unlike, not the copies of a hot passage.
+2. The windows left are dealt by their anchor and compared, among those of one anchor, by the hash of their words: two windows count as equal
+   if anchor and window agree, each in 64 bits.
 3. The places of repeated windows go back to their documents, where the words they cover are removed.
 
+What a task has met before it need not ask for: of an anchor, and of a run of windows with one anchor, only the first in a task goes to the task
+that compares (others are known to be repeated, and so is the first then). So a passage that stands everywhere is sent once by each task, not once for
+each copy. What tasks remember is bounded; what is forgotten is only asked for again.
+
 Null texts have no words. A document of fewer words than a window stays whole. Rows are told apart by id and text, so null
 and repeated ids are documents of their own, and a row that is repeated with its text is a copy. An empty table gives no rows.
 """
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +37,7 @@ from .common import id_text, partitions
 WINDOW, ROUNDS, LONGEST = 35, 2, 8
 CHUNK = 250_000  # words handled at once; more only for a document that is longer
 HELD = 400_000  # windows or anchors gathered before they are compared with what a task has seen
+REMEMBERED = 4_000_000  # anchors or runs of windows a task knows of those it has sent
 BASE = np.uint64(0x9E3779B97F4A7C15)
 U = np.uint64
 
@@ -177,6 +183,16 @@ class Parsed:
         else:
             self.key = np.zeros(0, np.uint64)
 
+    def runs(self, start: np.ndarray, count: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """A hash of each run of windows: of their hashes in order, their number and their anchor."""
+        if not len(start):
+            return np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            of = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            total = np.add.reduceat(mix(self.hash[of] + inner.astype(np.uint64) * BASE, 12), np.cumsum(count) - count)
+            return mix(total ^ mix(key + count.astype(np.uint64), 13), 14)
+
 
 def chunks(batch: pa.RecordBatch, hashes: Words) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Rows of a batch in groups of about CHUNK words: the first row, and the hashes of each row's words."""
@@ -201,24 +217,16 @@ def hasher() -> Words:
     return _hashes[0]
 
 
-def _anchors(window: int):
-    def run(batches):
-        hashes = hasher()
-        for b in batches:
-            uid = b.column("uid").to_numpy()
-            for first, docs in chunks(b, hashes):
-                p = Parsed(docs, window)
-                yield pa.RecordBatch.from_arrays([pa.array(p.key.view(np.int64)), pa.array(uid[first + p.doc]), pa.array(p.at.astype(np.int32))], ["key", "uid", "at"])
-
-    return run
-
-
 class Seen:
     """Unlike keys a task has met, each with its first place until the key comes again."""
 
     def __init__(self, places: int):
         self.key, self.again, self.place = np.zeros(0, np.uint64), np.zeros(0, bool), [np.zeros(0, np.int64) for _ in range(places)]
 
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        near = np.minimum(np.searchsorted(self.key, key), max(len(self.key) - 1, 0))
+        return self.key[near] == key if len(self.key) else np.zeros(len(key), bool)
+
     def add(self, key: np.ndarray, *place: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Which of the new ones are repeated (here or before), and the first places of those seen once until now."""
         unlike, first, back, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
@@ -237,16 +245,60 @@ class Seen:
         return repeated[back], freed
 
 
+class Sent:
+    """What a task has sent: tells what it meets again, with the place where it was met first, and forgets all when it is too much."""
+
+    def __init__(self):
+        self.seen = Seen(3)
+
+    def __call__(self, key: np.ndarray, uid: np.ndarray, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which rows are to be sent (the first of each key), and (uid, at, count) of all that is now known to be repeated."""
+        if len(self.seen.key) > REMEMBERED:
+            self.seen = Seen(3)
+        fresh = np.zeros(len(key), bool)
+        unlike, first = np.unique(key, return_index=True)
+        fresh[first[~self.seen.holds(unlike)]] = True
+        on, freed = self.seen.add(key, uid, at, count)
+        return fresh, [np.concatenate([x[on], y]) for x, y in zip((uid, at, count), freed)]
+
+
+def _spread(uid: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys for rows that may go to any task."""
+    with np.errstate(over="ignore"):
+        return mix(uid.view(np.uint64) + at.astype(np.uint64), 11).view(np.int64)
+
+
+def _anchors(window: int):
+    """key, uid, at of each region, and whether its anchor is known to be repeated; of the others each key stands once for each task."""
+
+    def run(batches):
+        hashes, sent = hasher(), Sent()
+        for b in batches:
+            uid = b.column("uid").to_numpy()
+            for first, docs in chunks(b, hashes):
+                p = Parsed(docs, window)
+                at, u = p.at, uid[first + p.doc]
+                ask, (known_u, known_at, _) = sent(p.key, u, at, p.count)
+                told = np.repeat([False, True], [ask.sum(), len(known_u)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([p.key[ask].view(np.int64), _spread(known_u, known_at)])), pa.array(np.concatenate([u[ask], known_u])), pa.array(np.concatenate([at[ask], known_at]).astype(np.int32)), pa.array(told)],
+                    ["key", "uid", "at", "told"],
+                )
+
+    return run
+
+
 def _repeated_anchors(batches):
     seen, held, n = Seen(2), [], 0
 
     def flush():
-        key, uid, at = (np.concatenate(x) for x in zip(*held))
-        on, (u, a) = seen.add(key.view(np.uint64), uid, at)
+        key, uid, at, told = (np.concatenate(x) for x in zip(*held))
+        on, (u, a) = seen.add(key[~told].view(np.uint64), uid[~told], at[~told])
+        on = np.concatenate([np.flatnonzero(~told)[on], np.flatnonzero(told)])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([uid[on], u])), pa.array(np.concatenate([at[on], a]).astype(np.int32))], ["uid", "at"])
 
     for b in batches:
-        held.append((b.column("key").to_numpy(), b.column("uid").to_numpy(), b.column("at").to_numpy()))
+        held.append((b.column("key").to_numpy(), b.column("uid").to_numpy(), b.column("at").to_numpy(), b.column("told").to_numpy(zero_copy_only=False)))
         n += b.num_rows
         if n >= HELD:
             yield flush()
@@ -256,10 +308,10 @@ def _repeated_anchors(batches):
 
 
 def _regions(window: int):
-    """The regions at the places in `places`: key, uid, at, and the hashes of their windows."""
+    """The regions at the places in `places`: key, uid, at, count and the hashes of their windows, or none where all of these are known to be repeated."""
 
     def run(batches):
-        hashes = hasher()
+        hashes, sent = hasher(), Sent()
         for b in batches:
             uid, places = b.column("uid").to_numpy(), b.column("places")
             for first, docs in chunks(b, hashes):
@@ -268,36 +320,74 @@ def _regions(window: int):
                 on = np.zeros(len(p.h) + 1, bool)
                 on[np.concatenate([w + f for w, f in zip(wanted, p.first)])] = True
                 here = np.flatnonzero(on[p.at + p.first[p.doc]])
-                hashed = [p.hash[s : s + c].tobytes() for s, c in zip(p.start[here].tolist(), p.count[here].tolist())]
+                start, count, u, at, key = p.start[here], p.count[here], uid[first + p.doc[here]], p.at[here], p.key[here]
+                ask, (known_u, known_at, known_n) = sent(p.runs(start, count, key), u, at, count)
+                size = count[ask]
+                of = np.repeat(start[ask], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(size) * 8, np.full(len(known_u), size.sum() * 8)]).astype(np.int32)
+                held = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(p.hash[of].tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.key[here].view(np.int64)), pa.array(uid[first + p.doc[here]]), pa.array(p.at[here].astype(np.int32)), pa.array(hashed, pa.binary())], ["key", "uid", "at", "hashes"]
+                    [
+                        pa.array(np.concatenate([key[ask].view(np.int64), _spread(known_u, known_at)])),
+                        pa.array(np.concatenate([u[ask], known_u])),
+                        pa.array(np.concatenate([at[ask], known_at]).astype(np.int32)),
+                        pa.array(np.concatenate([size, known_n]).astype(np.int32)),
+                        held,
+                    ],
+                    ["key", "uid", "at", "count", "hashes"],
                 )
 
     return run
 
 
+def _spans(uid: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """uid, first, last of windows that follow each other."""
+    order = np.lexsort((at, uid))
+    uid, at = uid[order], at[order]
+    new = np.ones(len(uid), bool)
+    new[1:] = (uid[1:] != uid[:-1]) | (at[1:] - at[:-1] > 1)
+    s = np.flatnonzero(new)
+    e = np.append(s[1:], len(uid)) - 1 if len(s) else s
+    return pa.RecordBatch.from_arrays([pa.array(uid[s]), pa.array(at[s].astype(np.int32)), pa.array(at[e].astype(np.int32))], ["uid", "first", "last"])
+
+
 def _repeated_windows(batches):
-    seen, held, n = Seen(2), [], 0
+    """The spans of repeated windows. Rows come sorted by key, so windows of one anchor are together; only those of the last one are kept for the next rows."""
+    key_now, seen, held, n = None, Seen(2), [], 0
 
     def flush():
-        hashes, uid, at = (np.concatenate(x) for x in zip(*held))
-        on, (u, a) = seen.add(hashes, uid, at)
-        uid, at = np.concatenate([uid[on], u]), np.concatenate([at[on], a])
-        order = np.lexsort((at, uid))
-        uid, at = uid[order], at[order]
-        new = np.ones(len(uid), bool)
-        new[1:] = (uid[1:] != uid[:-1]) | (at[1:] - at[:-1] > 1)
-        s = np.flatnonzero(new)
-        e = np.append(s[1:], len(uid)) - 1 if len(s) else s
-        return pa.RecordBatch.from_arrays([pa.array(uid[s]), pa.array(at[s].astype(np.int32)), pa.array(at[e].astype(np.int32))], ["uid", "first", "last"])
+        nonlocal key_now, seen
+        key, hashes, uid, at = (np.concatenate(x) for x in zip(*held))
+        found = []
+        a = int(np.searchsorted(key, key_now, "right")) if key_now is not None and key[0] == key_now else 0
+        b = int(np.searchsorted(key, key[-1], "left"))
+        if a:
+            on, freed = seen.add(hashes[:a], uid[:a], at[:a])
+            found += [(uid[:a][on], at[:a][on]), tuple(freed)]
+        if a < b:
+            order = a + np.lexsort((hashes[a:b], key[a:b]))
+            same = (key[order][1:] == key[order][:-1]) & (hashes[order][1:] == hashes[order][:-1])
+            on = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+            found.append((uid[on], at[on]))
+        if a <= b:
+            key_now, seen = key[-1], Seen(2)
+            on, freed = seen.add(hashes[b:], uid[b:], at[b:])
+            found += [(uid[b:][on], at[b:][on]), tuple(freed)]
+        return _spans(*(np.concatenate(x) for x in zip(*found)))
 
     for b in batches:
-        raw = b.column("hashes").to_pylist()
-        count = np.array([len(x) // 8 for x in raw], np.int64)
-        hashes = np.frombuffer(b"".join(raw), np.uint64)
-        inner = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
-        held.append((hashes, np.repeat(b.column("uid").to_numpy(), count), np.repeat(b.column("at").to_numpy().astype(np.int64), count) + inner))
-        n += len(hashes)
+        size = b.column("count").to_numpy().astype(np.int64)
+        uid, at, key = b.column("uid").to_numpy(), b.column("at").to_numpy().astype(np.int64), b.column("key").to_numpy()
+        column = b.column("hashes")
+        hashes = np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+        told = np.array(pa.compute.binary_length(column)) == 0
+        if told.any():
+            yield pa.RecordBatch.from_arrays([pa.array(uid[told]), pa.array(at[told].astype(np.int32)), pa.array((at + size - 1)[told].astype(np.int32))], ["uid", "first", "last"])
+            uid, at, key, size = uid[~told], at[~told], key[~told], size[~told]
+        if len(key):
+            inner = np.arange(len(hashes)) - np.repeat(np.cumsum(size) - size, size)
+            held.append((np.repeat(key, size), hashes, np.repeat(uid, size), np.repeat(at, size) + inner))
+            n += len(hashes)
         if n >= HELD:
             yield flush()
             held, n = [], 0
@@ -335,11 +425,11 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text) for each row of df."""
     n = partitions(df.sparkSession)
     docs = id_text(df, id_col, text_col).withColumn("uid", F.xxhash64("doc_id", "text"))
-    anchors = docs.select("uid", "text").mapInArrow(_anchors(window), "key long, uid long, at int")
+    anchors = docs.select("uid", "text").mapInArrow(_anchors(window), "key long, uid long, at int, told boolean")
     repeated = anchors.repartition(n, "key").mapInArrow(_repeated_anchors, "uid long, at int")
     places = repeated.groupBy("uid").agg(F.collect_set("at").alias("places"))
-    regions = docs.join(places, "uid").select("uid", "text", "places").mapInArrow(_regions(window), "key long, uid long, at int, hashes binary")
-    windows = regions.repartition(n, "key").mapInArrow(_repeated_windows, "uid long, first int, last int")
+    regions = docs.join(places, "uid").select("uid", "text", "places").mapInArrow(_regions(window), "key long, uid long, at int, count int, hashes binary")
+    windows = regions.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_repeated_windows, "uid long, first int, last int")
     spans = windows.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
     return docs.join(spans, "uid", "left").select("doc_id", "text", "spans").mapInArrow(_removed(window, with_text), out)

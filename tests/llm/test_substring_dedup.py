@@ -3,8 +3,10 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
+from plotline.llm import substring_dedup as module
 from plotline.llm.substring_dedup import Parsed, Words, substring_dedup
 
 from .helpers import documents, edges, empty, rows, texts
@@ -85,5 +87,60 @@ def test_repeated_texts_first_in_small_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+@pytest.mark.parametrize("parts", [1, 4, 37, 211])
+def test_results_do_not_depend_on_partitions(spark, parts):
+    df = documents(spark).select("doc_id", "text")
+    want = brute(texts(df), 35)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        assert got(df.repartition(parts)) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("held,remembered,tasks", [(400_000, 4_000_000, 1), (30, 10, 3), (1, 0, 2), (200, 50, 5)])
+def test_tasks_that_forget(monkeypatch, held, remembered, tasks):
+    """The steps by hand: what a task remembers and gathers at once does not change what is found."""
+    monkeypatch.setattr(module, "HELD", held)
+    monkeypatch.setattr(module, "REMEMBERED", remembered)
+    rng = random.Random(held)
+    passages = [[f"w{rng.randrange(9)}" for _ in range(rng.randint(4, 14))] for _ in range(5)] + [["same"] * 9]
+    docs = []
+    for i in range(80):
+        words = [f"w{rng.randrange(40)}" for _ in range(rng.randint(0, 6))]
+        for _ in range(rng.randint(0, 3)):
+            words += rng.choice(passages) + [f"v{rng.randrange(1000)}"] * rng.randint(0, 2)
+        docs.append((i, " ".join(words)))
+
+    def batches(rows, schema, size=7):
+        for k in range(0, len(rows), size):
+            yield pa.RecordBatch.from_pylist(rows[k : k + size], schema)
+
+    def dealt(rows, by, key):
+        return [sorted((r for r in rows if key(r) % tasks == t), key=by) for t in range(tasks)]
+
+    def run(step, parts, schema):
+        return [r for part in parts for b in step(batches(part, schema)) for r in b.to_pylist()]
+
+    text = pa.schema([("uid", pa.int64()), ("text", pa.string())])
+    rows_ = [{"uid": i, "text": t} for i, t in docs]
+    window = 5
+    asked = run(module._anchors(window), dealt(rows_, lambda r: r["uid"], lambda r: r["uid"]), text)
+    if tasks == 1:
+        assert max(Counter(r["key"] for r in asked if not r["told"]).values()) == 1
+    found = run(module._repeated_anchors, dealt(asked, lambda r: 0, lambda r: r["key"]), pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("at", pa.int32()), ("told", pa.bool_())]))
+    places = {}
+    for r in found:
+        places.setdefault(r["uid"], set()).add(r["at"])
+    again = [r | {"places": sorted(places[r["uid"]])} for r in rows_ if r["uid"] in places]
+    runs = run(module._regions(window), dealt(again, lambda r: r["uid"], lambda r: r["uid"]), text.append(pa.field("places", pa.list_(pa.int32()))))
+    spans = run(module._repeated_windows, dealt(runs, lambda r: r["key"], lambda r: r["key"]), pa.schema([("key", pa.int64()), ("uid", pa.int64()), ("at", pa.int32()), ("count", pa.int32()), ("hashes", pa.binary())]))
+    covered = {}
+    for r in spans:
+        covered.setdefault(r["uid"], set()).update(range(r["first"], r["last"] + window))
+    assert [(i, len(covered.get(i, ()))) for i, _ in docs] == [(w[0], w[2]) for w in sorted(brute(docs, window))]
+
+
 def test_empty_table(spark):
     assert rows(substring_dedup(empty(spark))) == []
