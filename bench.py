@@ -18,6 +18,8 @@ HEADLINES = [
     "market_then_any",
     "street_sales",
     "previous_sale",
+    "market_signals",
+    "lineage_groups",
     "group_history",
     "change_detection",
     "rolling_spend_24h",

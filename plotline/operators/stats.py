@@ -40,6 +40,11 @@ def relabelled_facet(values: DataFrame, value: str, synonyms: dict[str, tuple[st
     return named.orderBy(F.col("n").desc(), "label").limit(most)
 
 
+def cube_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """n by every combination of keys and their totals; level tells by its bits which keys are totals."""
+    return df.cube(*keys).agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
+
+
 def ranges(df: DataFrame, columns: list[str]) -> DataFrame:
     """facet, min, max of each column, from one scan."""
     one = df.agg(*(f(c).cast("double").alias(f"{c}_{n}") for c in columns for n, f in (("min", F.min), ("max", F.max))))

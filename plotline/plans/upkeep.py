@@ -471,10 +471,50 @@ def ranked_candidates(spark, sf):
 
 @query(
     f"""SELECT id, CASE WHEN offer_type = 'SALE' THEN 'Kupno' ELSE 'Wynajem' END || ' ' || CASE WHEN object_type = 'HOUSE' THEN 'Dom' ELSE 'Mieszkanie' END AS kind,
-    concat_ws(', ', district_name, city_name, province_name) AS address, printf('%.1f m2', round_even(area_value, 1)) AS area,
+    concat_ws(', ', district_name, city_name, province_name) AS address,
     concat_ws(', ', CAST(building_year AS VARCHAR), CASE building_type WHEN 'BLOCK' THEN 'Blok' WHEN 'LOFT' THEN 'Loft' END, CASE building_material WHEN 'BRICK' THEN 'Cegła' ELSE 'Drewno' END, CASE building_heating WHEN 'GAS' THEN 'Gazowe' ELSE 'Miejskie' END) AS building FROM {ROWS}"""
 )
 def candidate_cards(spark, sf):
     """What a reader is shown of each listing."""
     df = rows(spark, sf).withColumns({"street": F.lit(None).cast("string"), "features": F.array(F.lit("balcony"))})
-    return documents.cards(df).select("id", "kind", "address", "area", "building")
+    return documents.cards(df).select("id", "kind", "address", "building")
+
+
+_IN = "least(latitude - s, s + 6e-2 - latitude, (longitude - w) * cos(radians(latitude)), (w + 8e-2 - longitude) * cos(radians(latitude))) * 111320"
+
+
+@query(
+    f"""SELECT id, CASE WHEN NOT held AND m > 100 THEN 'pin_outside_city' WHEN held AND m < 1000 THEN 'near_city_border' ELSE '' END AS flag, m AS border_m FROM (
+    SELECT f.id, held, CAST(round_even(CASE WHEN held THEN {_IN} ELSE {_km_out('latitude', 'longitude', 's', 'w')} END, 0) AS INT) AS m FROM (SELECT f.*, b.*, latitude >= s AND latitude < s + 6e-2 AND longitude >= w AND longitude < w + 8e-2 AS held
+    FROM {FLATS_SQL} f JOIN customer c ON c_custkey = f.id JOIN {_BOX} b ON b.n_nationkey = c_nationkey) f) t"""
+)
+def pin_verdicts(spark, sf):
+    """What pins say against the town that an advert claims: here that of its customer's nation."""
+    n = _squares(spark, sf)
+    claims = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("n_nationkey")).join(n.select("n_nationkey", F.col("name").alias("city_name")), "n_nationkey")
+    ads = flats(spark, sf).join(claims, "id").withColumn("province_code", F.lit(None).cast("string"))
+    towns = n.select("name", F.lit("12").alias("province_code"), "sides", F.lit(100.0).alias("area_km2"))
+    c = signals.pin_checks(ads, towns, towns.select("name", "sides"))
+    v = checks.pin_verdict(F.lit("x"), F.col("claimed_is_town"), F.col("claimed_area_km2"), F.col("inside_claimed"), F.col("border_m"), F.col("pin_city_name"), F.col("pin_gmina_name"))
+    return c.select("id", F.array_join(v["flags"], ",").alias("flag"), "border_m")
+
+
+@query(
+    f"""WITH l AS (SELECT s_suppkey % 2 AS k, 50e0 + s_suppkey * 7 % 30 / 1e2 AS la, 198e-1 + s_suppkey * 11 % 40 / 1e2 AS lo FROM supplier),
+    d AS (SELECT id, k, (lo - longitude) * cos(radians(latitude)) AS x1, la - latitude AS y1, 3e-2 * cos(radians(latitude)) AS dx, 1e-2 AS dy FROM {FLATS_SQL} f, l),
+    e AS (SELECT id, k, sqrt(power(x1 + greatest(0, least(1, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) * dx, 2) + power(y1 + greatest(0, least(1, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) * dy, 2)) * 111320 AS m FROM d),
+    n AS (SELECT id, round_even(min(m) FILTER (k = 0 AND m <= 1000), 0) AS x, round_even(min(m) FILTER (k = 1 AND m <= 500), 0) AS r FROM e GROUP BY id),
+    w AS (SELECT 50.12 AS la, 19.95 AS lo, 1.0 AS e UNION ALL SELECT 50.12, 19.92, -1.0),
+    p AS (SELECT DISTINCT id FROM (SELECT id, (longitude - lo) * 111320 * cos(radians(la)) * e AS along, abs((latitude - la) * 111320) AS aside FROM {FLATS_SQL} f, w) t WHERE along > 0 AND along <= 8000 AND aside <= 400 + along * 0.05)
+    SELECT id, CASE WHEN x <= 300 THEN 'near_expressway,' ELSE '' END || CASE WHEN r <= 150 THEN 'near_railway,' ELSE '' END || CASE WHEN p.id IS NOT NULL THEN 'under_approach,' ELSE '' END AS flags
+    FROM n LEFT JOIN p USING (id) WHERE x IS NOT NULL OR r IS NOT NULL OR p.id IS NOT NULL"""
+)
+def nuisance_flags(spark, sf):
+    """Roads, railways and runways near flats, and what they say against them."""
+    way = read(spark, sf, "supplier").selectExpr("s_suppkey", "50e0 + s_suppkey * 7 % 30 / 1e2 AS la", "198e-1 + s_suppkey * 11 % 40 / 1e2 AS lo")
+    pts = F.array(F.struct(F.col("la").alias("lat"), F.col("lo").alias("lon")), F.struct((F.col("la") + 1e-2).alias("lat"), (F.col("lo") + 3e-2).alias("lon")))
+    lines = way.select(F.when(F.col("s_suppkey") % 2 == 0, "expressway").otherwise("railway").alias("kind"), F.lit("A4").alias("label"), pts.alias("points"))
+    runway = spark.createDataFrame([("runway", "EPKK", [(50.12, 19.92), (50.12, 19.95)])], "kind string, label string, points array<struct<lat: double, lon: double>>")
+    n = signals.nuisances(flats(spark, sf), lines.unionByName(runway))
+    v = checks.nuisance_verdict(F.col("expressway_m"), F.col("expressway_label"), F.col("railway_m"), F.col("approach_m"))
+    return n.select("id", F.array_join(F.transform(v["flags"], lambda f: F.concat(f, F.lit(","))), "").alias("flags"))
