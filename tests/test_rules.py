@@ -36,6 +36,32 @@ def test_text(spark):
     assert values(spark, [(-12.5,), (3.0,)], "a double", text.percent(F.col("a"))) == ["-12,5%", "+3%"]
 
 
+def test_html_against_patterns(spark):
+    """Well-formed pages, by taking tags away with patterns."""
+    import html
+    import random
+    import re
+
+    rng = random.Random(9)
+
+    def piece(deep):
+        kind = rng.choice(["text", "text", "b", "p", "li", "div", "br", "script", "h2"] if deep else ["text"])
+        inner = "".join(piece(deep - 1) for _ in range(rng.randint(0, 3))) if kind not in ("text", "br", "script") else ""
+        return {"text": rng.choice(["word ", "a &amp; b", "x &lt; y ", "é\n"]), "br": rng.choice(["<br>", "<br/>"]), "script": "<script>if (1) { x }</script>"}.get(kind, f"<{kind} class='c'>{inner}</{kind}>")
+
+    pages = ["".join(piece(3) for _ in range(rng.randint(1, 6))) for _ in range(60)]
+
+    def plain(page):
+        page = re.sub(r"<script>.*?</script>", "", page)
+        page = re.sub(r"<br/?>|</(?:p|li|div|h2)>", "\n", page)
+        said = html.unescape(re.sub(r"<[^>]+>", "", page))
+        while "\n\n\n" in said:
+            said = said.replace("\n\n\n", "\n\n")
+        return said.strip() or None
+
+    assert values(spark, [(p,) for p in pages], "a string", text.html_to_text(F.col("a"))) == [plain(p) for p in pages]
+
+
 def test_numbers(spark):
     said = ["1.234.567,00", "12,345.50", "1 099 000 zł", "12,5", "0,00", "12 i 13", None, "450000.00", "1.234"]
     assert values(spark, [(s,) for s in said], "a string", numbers.amount(F.col("a"))) == [1234567, 12346, 1099000, 12, None, None, None, 450000, 1234]
