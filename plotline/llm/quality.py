@@ -9,7 +9,7 @@ Training reads a bounded sample: at most `positives` trusted rows and `unlabelle
 lowest hash of their id outside the held-out fold. Scores cover all rows and whole texts.
 
 Null texts are empty texts and get a score as any other; a null id is never in the training sample and is not held
-out. Without trusted positives every score is 0.5. An empty table gives no rows.
+out. An id that is labelled both ways counts as trusted. Without trusted positives every score is 0.5. An empty table gives no rows.
 """
 
 import re
