@@ -89,6 +89,16 @@ def street_candidates(ads: DataFrame, streets: DataFrame, towns: DataFrame) -> D
     return containing(near, towns.select(F.lit(True).alias("_in"), "sides"), "id", ["_in"]).select("id")
 
 
+def pending(requests: DataFrame, most: int = 10) -> DataFrame:
+    """The ids whose requests wait longest, in order. A page of so many rows."""
+    return requests.where("status = 'pending'").orderBy(F.col("requested_at").asc_nulls_first(), "ad_id").limit(most).select("ad_id", "requested_at")
+
+
+def newest(df: DataFrame, **columns: str) -> DataFrame:
+    """One row: the largest value of each column, under a name of its own; null for an empty table."""
+    return df.agg(*(F.max(c).alias(name) for name, c in columns.items()))
+
+
 def requested_spending(requests: DataFrame, screenings: DataFrame, evaluations: DataFrame, since: Column) -> DataFrame:
     """cost_usd: what was spent since then on adverts whose request was finished since then."""
     asked = requests.where(F.col("finished_at") >= since).select("ad_id")

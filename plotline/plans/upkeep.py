@@ -92,6 +92,30 @@ def _evaluations(spark, sf):
     return read(spark, sf, "orders").selectExpr("CASE WHEN o_orderkey % 6 = 0 THEN 'failed' ELSE 'ok' END AS status", "o_totalprice AS cost_usd", "CAST(o_custkey % 10 AS INT) AS overall_score")
 
 
+@query("SELECT o_orderkey AS ad_id, o_orderdate AS requested_at FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, o_orderkey LIMIT 10")
+def pending_requests(spark, sf):
+    r = read(spark, sf, "orders").select(F.col("o_orderkey").alias("ad_id"), F.col("o_orderdate").alias("requested_at"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done").alias("status"))
+    return upkeep.pending(r)
+
+
+@query("SELECT max(event_id) AS newest_id, max(ts) AS loaded_at FROM events")
+def newest_load(spark, sf):
+    return upkeep.newest(read(spark, sf, "events"), newest_id="event_id", loaded_at="ts")
+
+
+@query(
+    """SELECT id, listing_group_id, listings_count, CASE WHEN listings_count >= 2 OR days >= 45 THEN 'ten sam lokal ogłaszany od ' || strftime(since, '%Y-%m-%d') || ', ' || days || ' dni na rynku' ||
+    CASE WHEN listings_count > 1 THEN ', ' || listings_count || ' ogłoszeń od ' || owners || ' ogłoszeniodawców' ELSE '' END || CASE WHEN active > 1 THEN ', teraz wystawiony równolegle w ' || active || ' ogłoszeniach' ELSE '' END END AS phrase
+    FROM (SELECT o_custkey AS id, o_custkey AS listing_group_id, count(*) AS listings_count, min(o_orderdate) AS since, count(DISTINCT o_orderpriority) AS owners, count(*) FILTER (o_orderstatus = 'O') AS active, o_custkey % 90 AS days FROM orders GROUP BY o_custkey) t"""
+)
+def history_phrases(spark, sf):
+    """What a lineage tells in one sentence."""
+    c = F.col
+    g = read(spark, sf, "orders").groupBy(c("o_custkey").alias("id")).agg(F.count("*").alias("n"), F.min("o_orderdate").alias("since"), F.count_distinct("o_orderpriority").alias("owners"), F.count_if(c("o_orderstatus") == "O").alias("active"))
+    phrase = documents.history_phrase(c("n"), c("id") % 90, c("since"), c("owners"), c("active"), F.lit(5), F.lit(5))
+    return g.select("id", c("id").alias("listing_group_id"), c("n").alias("listings_count"), phrase.alias("phrase"))
+
+
 _EVALUATIONS = "(SELECT CASE WHEN o_orderkey % 6 = 0 THEN 'failed' ELSE 'ok' END AS status, o_totalprice AS cost_usd, CAST(o_custkey % 10 AS INT) AS overall_score FROM orders)"
 
 

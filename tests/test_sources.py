@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from plotline.sources import geodata, payload, pricelists
@@ -86,3 +87,34 @@ def test_tiles_and_areas(spark):
     parts = spark.createDataFrame([("126101", "a", ring(0)), ("126102", "b", ring(1))], "code string, name string, pos string").withColumn("ring", geodata.ring(F.col("pos")))
     got = geodata.areas(parts, spark.createDataFrame([("1261", "Kraków")], "code string, name string")).first()
     assert (got.code, got.name, got.province_code, len(got.sides)) == ("1261", "Kraków", "12", 6)
+
+
+def test_search_urls():
+    from plotline.sources.payload import search_urls
+
+    assert search_urls("https://x/y", page=[1, 2], kind=["a b"]) == ["https://x/y?page=1&kind=a+b", "https://x/y?page=2&kind=a+b"]
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    from plotline.operators import merge
+
+    path = str(tmp_path / "signals")
+    merge.publish(spark.range(3), path)
+    merge.rebuilt(spark.range(5), path, ["id"])
+    assert merge.published(spark, path).count() == 5 and merge.published(spark, path, -2).count() == 3
+    (tmp_path / "signals" / "version=99999999999999999999").mkdir()  # one that is not whole yet
+    assert merge.published(spark, path).count() == 5
+    with pytest.raises(ValueError):
+        merge.rebuilt(spark.range(5), path, ["ad_id"])
+    with pytest.raises(ValueError):
+        merge.rebuilt(spark.sql("SELECT CAST(NULL AS LONG) AS id"), path, ["id"])
+
+
+def test_shards():
+    from plotline.operators.upkeep import levels_from, parsed_shard
+
+    assert parsed_shard("2/4") == (2, 4) and parsed_shard(None) is None
+    for odd in ("0/4", "5/4", "a/b", "1", "1/2/3"):
+        with pytest.raises(ValueError):
+            parsed_shard(odd)
+    assert levels_from("error") == ["ERROR", "CRITICAL"] and len(levels_from("loud")) == 5
