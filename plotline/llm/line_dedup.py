@@ -35,14 +35,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select("*", F.length("line").alias("n"), F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"))
 
 
-def _odd(parts: Column) -> Column:
-    """Which of 64 classes an odd number of the parts falls into, as the bits of a long."""
-    return F.aggregate(parts, F.lit(0).cast("long"), lambda held, part: held.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(part))))
+def _odd(parts: Column, class_of) -> Column:
+    """Which of 64 classes (the last six bits of class_of) an odd number of the parts falls into, as the bits of a long."""
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda held, part: held.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), class_of(part))))
 
 
 def with_marks(lines: DataFrame) -> DataFrame:
     """lines with `letters` and `words`: the classes of which a line holds an odd number of characters and of words."""
-    return lines.select("*", _odd(F.split("line", "")).alias("letters"), _odd(F.split("line", " ", -1)).alias("words"))
+    return lines.select("*", _odd(F.split("line", ""), F.ascii).alias("letters"), _odd(F.split("line", " ", -1), F.hash).alias("words"))
 
 
 def may_be_near(a: str, b: str, less: Column, tau: int) -> Column:
@@ -185,7 +185,7 @@ def duplicate_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST) -> Data
     where = F.struct("doc_id", "text_hash", "pos")
     firsts = stash(lines.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count("*").alias("copies")), "firsts")
     pairs = stash(candidates(lines.where(F.col("n") >= 2 * tau + 1), tau), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    wanted = stash(pairs.select(F.col("a").alias("h1")).distinct().unionByName(pairs.select(F.col("b").alias("h1")).distinct()).distinct(), "wanted")
     few = wanted.limit(SENT + 1).count() <= SENT
     texts = lines.select("h1", "h2", "line").join(F.broadcast(wanted) if few else wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.first("line").alias("line"))
     near = verified(pairs, stash(texts, "texts"), tau)
