@@ -10,6 +10,7 @@ Null and empty texts have no ids. Rows with null ids and repeated ids are encode
 
 import base64
 import hashlib
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,18 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 class Memory(dict):
-    """Remembers between size and twice size entries: when the young half is full it becomes the old one, and the old one goes."""
+    """Remembers between size and twice size entries: when the young half is full it becomes the old one, and the old one goes.
 
-    def __init__(self, size: int):
+    A Python worker serves one operator after the other; once one of them asks its memories, those of others are emptied.
+    """
+
+    every: list["weakref.ref[Memory]"] = []
+    asking = ""
+
+    def __init__(self, size: int, owner: str = ""):
         super().__init__()
-        self.size, self.old, self.unknown = size, {}, []
+        self.size, self.owner, self.old, self.unknown = size, owner, {}, []
+        Memory.every.append(weakref.ref(self))
 
     def __missing__(self, key):
         x = self.old.get(key)
@@ -44,6 +52,13 @@ class Memory(dict):
 
     def many(self, keys: list) -> tuple[list, list]:
         """The values (None where unknown), and the unknown keys in their order, repeats too."""
+        if Memory.asking != self.owner:
+            Memory.asking = self.owner
+            for held in Memory.every:
+                other = held()
+                if other is not None and other.owner != self.owner:
+                    other.clear()
+                    other.old = {}
         self.unknown = []
         return list(map(self.__getitem__, keys)), self.unknown
 
@@ -72,8 +87,8 @@ class Bpe:
             self.automaton.add_word(t.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.known = Memory(CACHE)
-        self.spaced = Memory(CACHE)
+        self.known = Memory(CACHE, "bpe")
+        self.spaced = Memory(CACHE, "bpe")
 
     def merged(self, data: bytes) -> list[int]:
         """The plain merges of lowest rank, for the few bytes of one or two tokens."""

@@ -53,7 +53,7 @@ def word_code(word: bytes) -> int:
 
 
 _UNITS = frozenset(UNITS)
-_words = Memory(CACHE)
+_words = Memory(CACHE, "templates")
 
 
 def codes(text: str) -> np.ndarray:

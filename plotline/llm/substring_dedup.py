@@ -56,7 +56,7 @@ class Words:
     """Hashes of words, remembered."""
 
     def __init__(self, size: int = 200_000):
-        self.known = Memory(size)
+        self.known = Memory(size, "words")
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         out, new = self.known.many(words)

@@ -50,7 +50,7 @@ class PieceEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.length_of[i] = len(token)
         self.marks = {x: self.whole(x) for x in ".,"}
-        self.known = Memory(CACHE)
+        self.known = Memory(CACHE, "token ids")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
