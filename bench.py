@@ -19,7 +19,6 @@ HEADLINES = [
     "street_sales",
     "previous_sale",
     "market_signals",
-    "lineage_groups",
     "group_history",
     "change_detection",
     "rolling_spend_24h",
