@@ -234,7 +234,7 @@ def test_area_rules(spark):
     ]
     assert values(spark, [x[:2] for x in said], "t string, area double", checks.usable_area(F.col("t"), F.col("area"))) == [x[2] for x in said]
     rows = [("Mieszkanie ze skosami, w tym piwnica 5 m2", 60.0), ("Dom 180 m2, 96 m2 powierzchni użytkowej", 180.0), ("nic", 50.0), (None, 1.0)]
-    got = values(spark, rows, "t string, area double", checks.area_verdict(F.col("t"), F.col("area")))
+    got = values(spark, rows, "t string, area double", checks.area_verdict(F.col("t"), F.col("area"), checks.usable_area(F.col("t"), F.col("area"))))
     assert [g.flags for g in got] == [["attic_slopes", "appurtenant_included"], ["usable_area_smaller"], [], []]
     assert got[1].notes == ["Opis podaje 96 m² powierzchni użytkowej, a ogłoszenie 180 m². Cena za metr użytkowy jest o 88% wyższa."]
     assert got[0].notes[0] == "Opis wspomina skosy albo powierzchnię po podłodze: „Mieszkanie ze skosami, w tym piwnica 5 m2”."
