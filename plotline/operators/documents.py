@@ -64,6 +64,9 @@ def _against(phrase: Column, pct: Column) -> Column:
     return F.when(pct.isNull(), phrase).otherwise(_said(phrase, ", ta oferta jest ", F.bround(F.abs(pct), 0).cast("long"), "% ", where))
 
 
+# The words of the phrases below and their order.
+
+
 def market_phrases(signals: DataFrame) -> DataFrame:
     """ad_id and what its signals tell in words: comparables, transactions, street_transactions, previous_sale, developer, area_warnings, nuisances, location_warnings.
 
