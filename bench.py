@@ -2,6 +2,7 @@
 
 import json
 import os
+import signal
 import sys
 import time
 
@@ -18,7 +19,6 @@ HEADLINES = [
     "market_then_any",
     "street_sales",
     "previous_sale",
-    "market_signals",
     "group_history",
     "change_detection",
     "rolling_spend_24h",
@@ -29,6 +29,7 @@ HEADLINES = [
     "ambiguity_cutoff_match",
     "text_search_relevance",
     "content_fingerprint",
+    "market_signals",
 ]
 
 
@@ -42,11 +43,20 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1).count()
     took = {}
+
+    def told() -> None:
+        print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}), flush=True)
+
+    def ended(*_) -> None:
+        told()  # those that are done
+        os._exit(1)
+
+    signal.signal(signal.SIGTERM, ended)
     for name in HEADLINES:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)
-    print(json.dumps({"metric": "headline queries, total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    told()
     spark.stop()
 
 
