@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, line_dedup, ngram_join, quality, quotes, secrets, substring_dedup, token_ids
+from . import bpe, decontaminate, exact_dedup, lexical_search, line_dedup, ngram_join, quality, quotes, secrets, substring_dedup, token_ids
 from .common import documents
 
 
@@ -52,6 +52,10 @@ def op10_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_token_ids": op2_token_ids,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_quote_links": op10_quote_links,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -74,4 +79,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g USING (t)
     """,
+    "op12_lexical_search": rf"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_ASCII_LOWER}, '{lexical_search.TERM}')) AS term FROM documents),
+             l AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+             s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM l),
+             tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
+             w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, docs),
+             m AS (SELECT doc_id, 50 + (50 * n * docs) // terms AS m FROM l, s),
+             q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_ASCII_LOWER}, '{lexical_search.TERM}')) AS term FROM benchmark),
+             r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+                   FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+             o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM r WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50
+    """,
 }
