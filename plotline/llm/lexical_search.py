@@ -45,8 +45,13 @@ INDEX = "block long, ids binary, terms binary, maxima binary, dfs binary, starts
 
 def statistics(docs: DataFrame) -> tuple[int, int]:
     """Documents with a term, and terms of all documents."""
-    n = F.regexp_count("text", F.lit(TERM)).cast("long")
-    r = docs.select(n.alias("n")).agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).head()
+
+    def run(batches):
+        for batch in batches:
+            n = [len(text.translate(FOLDED).split()) for text in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, n))]), pa.array([sum(n)])], ["documents", "terms"])
+
+    r = docs.select("text").mapInArrow(run, "documents long, terms long").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("documents", "terms"))).head()
     return r[0], r[1]
 
 
