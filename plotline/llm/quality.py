@@ -6,7 +6,7 @@ the share of positives in it, pi * R- of trusted positives, is taken off, never
 estimated from the labelled rows of the training folds. Labels, language, source and id are never inputs of a score.
 
 Training reads a bounded sample: at most `positives` trusted rows and `unlabelled` rows, both those with the
-lowest hash of their id outside the held-out fold. Scores cover all rows and whole texts.
+lowest hash of their id and text outside the held-out fold; rows alike in both count once. Scores cover all rows and whole texts.
 
 Null texts are empty texts and get a score as any other; a null id is never in the training sample and is not held
 out. An id that is labelled both ways counts as trusted. Without trusted positives every score is 0.5. An empty table gives no rows.
@@ -96,11 +96,14 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     if not good:
         return np.zeros(WIDTH), 0.0
     prior = good / n
-    order = F.xxhash64("doc_id")
-    trusted = known.where("quality = 1").select("doc_id").orderBy(order, "doc_id").limit(positives).withColumn("trusted", F.lit(True))
-    others = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out()).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled).withColumn("trusted", F.lit(False))
-    chosen = spark.createDataFrame(trusted.union(others).toArrow())  # at most positives + unlabelled ids
-    rows = _featured(docs.join(F.broadcast(chosen), "doc_id")).toArrow()
+    key = ["doc_id", "h"]
+    keyed = docs.where(F.col("doc_id").isNotNull() & ~held_out()).withColumn("h", F.xxhash64("text"))
+    every = keyed.select(*key).distinct()
+    trusted = every.join(known.where("quality = 1").select("doc_id"), "doc_id").orderBy(F.xxhash64(*key), *key).limit(positives).withColumn("trusted", F.lit(True))
+    others = every.orderBy(F.xxhash64(*key, F.lit(1)), *key).limit(unlabelled).withColumn("trusted", F.lit(False))
+    chosen = spark.createDataFrame(trusted.union(others).toArrow())  # at most positives + unlabelled keys
+    texts = keyed.join(F.broadcast(chosen), key).groupBy(*key, "trusted").agg(F.first("text").alias("text"))
+    rows = _featured(texts.orderBy("trusted", *key)).toArrow()
     x = np.frombuffer(b"".join(rows.column("features").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float64)
     is_trusted = np.array(rows.column("trusted").to_pylist(), bool)
     if not is_trusted.any() or is_trusted.all():
