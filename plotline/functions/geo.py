@@ -82,7 +82,9 @@ def outer_sides(rings: Column) -> Column:
             F.struct(e["lat2"].alias("lat1"), e["lon2"].alias("lon1"), e["lat1"].alias("lat2"), e["lon1"].alias("lon2"))
         ),
     )
-    return F.filter(turned, lambda e: F.size(F.filter(turned, lambda o: o == e)) == 1)
+    ordered = F.array_sort(turned)  # equal ones stand next to each other
+    alone = lambda e, i: ~F.coalesce(F.get(ordered, i - 1) == e, F.lit(False)) & ~F.coalesce(F.get(ordered, i + 1) == e, F.lit(False))
+    return F.filter(ordered, alone)
 
 
 def rings_area_km2(rings: Column) -> Column:

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .cover import cells_at, cover, holds
 
 
-def row_of(lat: Column, metres: float) -> Column:
+def row_of(lat: Column, metres: float | Column) -> Column:
     return geo.cell(lat, metres / geo.METRES_PER_DEGREE * 1.0001)
 
 
-def column_of(row: Column, lon: Column, metres: float) -> Column:
+def column_of(row: Column, lon: Column, metres: float | Column) -> Column:
     """The cell of a longitude in a row of cells."""
     highest = F.least((F.greatest(F.abs(row), F.abs(row + 1)) + 1) * (metres / geo.METRES_PER_DEGREE * 1.0001), F.lit(89.4))
     return geo.cell(lon, metres / geo.METRES_PER_DEGREE * 1.0001 / F.cos(F.radians(highest)))
@@ -31,17 +32,30 @@ def neighbours(lat: Column, lon: Column, metres: float) -> Column:
     return F.array(*(F.struct((row + i).alias("y"), (column_of(row + i, lon, metres) + j).alias("x")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
 
 
+def with_cell(df: DataFrame, metres: float | Column, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """df with the cell _y, _x of its position. metres may be a column."""
+    return df.withColumn("_y", row_of(F.col(lat), metres)).withColumn("_x", column_of(F.col("_y"), F.col(lon), metres))
+
+
+def with_cells_around(df: DataFrame, metres: float | Column, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """df with a row for each of the nine cells _y, _x of its position and those around it, as neighbours gives them, in little code to compile."""
+    row = row_of(F.col(lat), metres)
+    rows = df.withColumn("_y", F.explode(F.array(row - 1, row, row + 1)))
+    column = column_of(F.col("_y"), F.col(lon), metres)
+    return rows.withColumn("_x", F.explode(F.array(column - 1, column, column + 1)))
+
+
 def near_pairs(left: DataFrame, right: DataFrame, metres: float, keys: list[str] = (), lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Pairs within so many metres with equal keys: left's columns, right's as r_*, and distance_m. Missing positions pair with none."""
     known = lambda df: df.where(geo.has_position(F.col(lat), F.col(lon)))
-    a = known(left).withColumn("_cell", F.explode(neighbours(F.col(lat), F.col(lon), metres)))
-    r = known(right)
-    r = r.select(*(F.col(c).alias(f"r_{c}") for c in r.columns), cell_of(F.col(lat), F.col(lon), metres).alias("_rcell"))
-    met = F.col("_cell") == F.col("_rcell")
+    a = with_cells_around(known(left), metres, lat, lon)
+    r = with_cell(known(right), metres, lat, lon)
+    r = r.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), F.col("_y").alias("_ry"), F.col("_x").alias("_rx"))
+    met = (F.col("_y") == F.col("_ry")) & (F.col("_x") == F.col("_rx"))
     for k in keys:
         met = met & (F.col(k) == F.col(f"r_{k}"))
     d = geo.flat_distance(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}"))
-    return a.join(r, met).drop("_cell", "_rcell").withColumn("distance_m", d).where(F.col("distance_m") <= metres)
+    return a.join(r, met).drop("_y", "_x", "_ry", "_rx").withColumn("distance_m", d).where(F.col("distance_m") <= metres)
 
 
 def nearest(left: DataFrame, right: DataFrame, metres: float, key: str, take: list[str], keys: list[str] = ()) -> DataFrame:
@@ -62,28 +76,14 @@ def covering_cells(side: Column, metres: float) -> Column:
     return F.flatten(F.transform(ys, across))
 
 
-def area_cells(areas: DataFrame, take: list[str], size: float) -> DataFrame:
-    """The cells of areas: take, y, x, whole (no side touches the cell, and it lies inside) and, for others, the sides on which it depends.
+def containing(points: DataFrame, areas: DataFrame, key: str, take: list[str]) -> DataFrame:
+    """key and an area's columns to take, for each point inside an area (areas: sides, as geo.outer_sides gives). Of several areas the first by its columns.
 
-    A cell on the border carries the sides in its row that are not west of it; one wholly inside carries none, one outside is left out.
+    A point looks for its cell at each of the cover's levels, and finds it at one for an area at most.
     """
-    side = F.col("side")
-    low, high = F.least(side["lat1"], side["lat2"]), F.greatest(side["lat1"], side["lat2"])
-    dealt = areas.select(*take, F.explode("sides").alias("side")).withColumn("y", F.explode(F.sequence(geo.cell(low, size), geo.cell(high, size))))
-    rows = dealt.groupBy(*take, "y").agg(F.collect_list("side").alias("sides"), F.min(F.least(side["lon1"], side["lon2"])).alias("west"), F.max(F.greatest(side["lon1"], side["lon2"])).alias("east"))
-    cells = rows.withColumn("x", F.explode(F.sequence(geo.cell(F.col("west"), size), geo.cell(F.col("east"), size))))
-    kept = F.filter("sides", lambda e: F.greatest(e["lon1"], e["lon2"]) >= F.col("x") * size)
-    cells = cells.select(*take, "y", "x", kept.alias("sides"))
-    touched = F.exists("sides", lambda e: F.least(e["lon1"], e["lon2"]) <= (F.col("x") + 1) * size)
-    cells = cells.select(*take, "y", "x", (~touched).alias("whole"), "sides").where(~F.col("whole") | geo.inside(F.col("sides"), (F.col("y") + 0.5) * size, (F.col("x") + 0.5) * size))
-    return cells.withColumn("sides", F.when(F.col("whole"), F.slice("sides", 1, 0)).otherwise(F.col("sides")))
-
-
-def containing(points: DataFrame, areas: DataFrame, key: str, take: list[str], cell_degrees: float = 0.05) -> DataFrame:
-    """key and an area's columns to take, for each point inside an area (areas: sides, as geo.outer_sides gives). Of several areas the first by its columns."""
     lat, lon = F.col("latitude"), F.col("longitude")
-    at = points.where(geo.has_position(lat, lon)).select(key, "latitude", "longitude", geo.cell(lat, cell_degrees).alias("y"), geo.cell(lon, cell_degrees).alias("x"))
-    held = at.join(area_cells(areas, take, cell_degrees), ["y", "x"]).where(F.col("whole") | geo.inside(F.col("sides"), lat, lon))
+    at = points.where(geo.has_position(lat, lon)).select(key, "latitude", "longitude", F.explode(cells_at(lat, lon)).alias("_c")).select(key, "latitude", "longitude", "_c.*")
+    held = at.join(cover(areas, take), ["level", "y", "x"]).where(holds(lat, lon))
     return held.groupBy(key).agg(F.min(F.struct(*take)).alias("a")).select(key, *(F.col(f"a.{c}").alias(c) for c in take))
 
 
