@@ -63,10 +63,30 @@ def newest(df: DataFrame, key: str, order: list[Column], most: int) -> DataFrame
     return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
 
 
-def trailing_sum(df: DataFrame, key: str, at: str, value: str, hours: int) -> DataFrame:
-    """df with the sum of a key's values over the hours up to each row."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-hours * 3_600_000_000, 0)
-    return df.withColumn("trailing_sum", F.sum(value).over(w))
+def trailing_sum(df: DataFrame, key: str, at: str, value: str, hours: int, parts: int = 24) -> DataFrame:
+    """df with the sum of a key's values over the hours up to each row.
+
+    Time is cut into buckets, `parts` to the hours. A row's window is whole buckets and two open ends: what its own bucket holds up to it, and what
+    the bucket in which the window begins holds from there on. Ends are sums within one bucket, so a key with all rows is dealt over as many
+    tasks as it has buckets; only the buckets' totals, one row each, go through a window over the key.
+    """
+    c, width = F.col, hours * 3_600_000_000 // parts
+    micros = F.unix_micros(c(at).cast("timestamp"))
+    rows = df.withColumns({"_t": micros, "_b": F.floor(micros / width)})
+    # in its own bucket: all up to the row's time; in the window's first bucket, `parts` before: all that is not older than the window
+    own = rows.select("*", F.lit(1).alias("_row"))
+    mark = rows.select(c(key), (c("_t") - parts * width).alias("_t"), (c("_b") - parts).alias("_b"), F.lit(0).alias("_row")).distinct()
+    by = Window.partitionBy(key, "_b")
+    both = own.unionByName(mark, allowMissingColumns=True).withColumns({"_up_to": F.sum(value).over(by.orderBy("_t")), "_from": F.sum(value).over(by.orderBy(c("_t").desc()))})
+    totals = rows.groupBy(key, "_b").agg(F.sum(value).alias("_all"))
+    span = Window.partitionBy(key).orderBy("_b").rangeBetween(-(parts - 1), -1)
+    between = totals.select(key, "_b", F.sum("_all").over(span).alias("_between"))
+    tails = both.where("_row = 0").select(c(key).alias("_k"), (c("_t") + parts * width).alias("_at"), (c("_b") + parts).alias("_to"), c("_from").alias("_tail"))
+    now = both.where("_row = 1").join(between.withColumnsRenamed({key: "_k2", "_b": "_b2"}), c(key).eqNullSafe(c("_k2")) & c("_b").eqNullSafe(c("_b2")))
+    met = now.join(tails, c(key).eqNullSafe(c("_k")) & c("_b").eqNullSafe(c("_to")) & c("_t").eqNullSafe(c("_at")))
+    some = c("_up_to").isNotNull() | c("_between").isNotNull() | c("_tail").isNotNull()
+    total = sum((F.coalesce(x, F.lit(0)) for x in ("_between", "_tail")), F.coalesce("_up_to", F.lit(0)))
+    return met.select(*df.columns, F.when(c("_t").isNull(), c("_up_to")).when(some, total).alias("trailing_sum"))  # rows without a time count together
 
 
 def spent_since(df: DataFrame, at: str, cost: str, since: Column) -> DataFrame:

@@ -4,10 +4,11 @@ Cells are as high as the search reaches, and in each row of them as wide as it r
 nine cells at most, at any latitude, and no table has to be looked through first. No side is broadcast unless Spark finds it small.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import written
 from .cover import cells_at, cover, holds
 
 
@@ -65,6 +66,47 @@ def nearest(left: DataFrame, right: DataFrame, metres: float, key: str, take: li
     return pairs.groupBy(key).agg(first.alias("n")).select(key, "n.distance_m", *(F.col(f"n.{c}").alias(c) for c in take))
 
 
+#: Heights of the pyramid's cells: doubled from the first to what holds the whole earth.
+LEAST_CELL_M, LEVELS = 62.5, 20
+
+
+def k_nearest(left: DataFrame, right: DataFrame, k: int, key: str, right_key: str, keys: list[str] = ()) -> DataFrame:
+    """key, rank (from 1), right_key, distance_m: the k nearest of right for each of left, however far; fewer only where right has fewer. Ties by right_key.
+
+    Counts of a pyramid of cells tell, before any pair is made, in how large a cell of its own a position has k others; it looks for them in cells
+    twice as high. If its k-th lies within their height they are the nearest; else that distance bounds them, and one more round looks as far as it.
+    Positions that are missing have none. keys: columns that have to be equal.
+    """
+    c = F.col
+    a = left.where(geo.has_position(c("latitude"), c("longitude"))).select(key, *keys, "latitude", "longitude")
+    b = right.where(geo.has_position(c("latitude"), c("longitude"))).select(c(right_key).alias("_id"), *keys, "latitude", "longitude")
+    every = list(range(LEVELS + 1))
+    heights = lambda of: F.array(*(F.struct(F.lit(n).alias("_n"), F.lit(LEAST_CELL_M * 2**n).alias("_m")) for n in of))
+    level = lambda df, of: with_cell(df.withColumn("_l", F.explode(heights(of))).select("*", "_l.*").drop("_l"), c("_m"))
+    cell = [*keys, "_n", "_y", "_x"]
+    full = level(b, every).groupBy(*cell).agg(F.count("*").alias("_held")).where(c("_held") >= k).select(*cell)
+    first = level(a, every).join(full, cell, "left_semi").groupBy(key).agg((F.min("_n") + 1).alias("_at"))
+    asked = written(a.join(first, key, "left").withColumn("_at", F.least(F.coalesce("_at", F.lit(LEVELS)), F.lit(LEVELS))), "asked")
+
+    def around(wanted: DataFrame) -> DataFrame:
+        """wanted (key, keys, position, _at) with up to k of right in the cells around it at level _at."""
+        levels = [r._at for r in wanted.select("_at").distinct().collect()] or [0]
+        wanted = with_cells_around(wanted.withColumn("_m", F.lit(LEAST_CELL_M) * F.pow(F.lit(2.0), c("_at"))), c("_m")).withColumn("_n", c("_at"))
+        near = wanted.select(key, c("latitude").alias("_lat"), c("longitude").alias("_lon"), *cell).join(level(b, levels), cell)
+        d = geo.flat_distance(c("_lat"), c("_lon"), c("latitude"), c("longitude"))
+        order = Window.partitionBy(key).orderBy("distance_m", "_id")
+        return near.select(key, "_id", d.alias("distance_m")).withColumn("rank", F.row_number().over(order)).where(c("rank") <= k)
+
+    found = written(around(asked), "nearest")
+    reach = asked.join(found.groupBy(key).agg(F.max("rank").alias("_found"), F.max("distance_m").alias("_far")), key, "left")
+    sure = (c("_at") == LEVELS) | ((c("_found") == k) & (c("_far") <= F.lit(LEAST_CELL_M) * F.pow(F.lit(2.0), c("_at"))))
+    reach = reach.withColumn("_sure", F.coalesce(sure, F.lit(False)))
+    higher = F.when(c("_found") == k, F.greatest(F.ceil(F.log2(c("_far") / LEAST_CELL_M)).cast("int"), c("_at") + 1)).otherwise(LEVELS)
+    again = around(reach.where("not _sure").withColumn("_at", F.least(higher, F.lit(LEVELS))).select(*asked.columns))
+    done = found.join(reach.where("_sure").select(key), key, "left_semi").unionByName(again)
+    return done.select(key, "rank", c("_id").alias(right_key), "distance_m")
+
+
 def covering_cells(side: Column, metres: float) -> Column:
     """The cells of the box around a side and those around it, as struct y, x."""
     ys = F.sequence(row_of(F.least(side["lat1"], side["lat2"]), metres) - 1, row_of(F.greatest(side["lat1"], side["lat2"]), metres) + 1)

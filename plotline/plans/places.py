@@ -72,6 +72,20 @@ def nearest_within(spark, sf):
     return spatial.nearest(flats(spark, sf), sales(spark, sf).withColumnRenamed("id", "nearest"), 2000, "id", ["nearest"]).select("id", "nearest")
 
 
+#: Of the flats one in fifty lies far from all sales.
+_FAR = "latitude + CASE WHEN id % 50 = 0 THEN 5e0 ELSE 0e0 END"
+
+
+@query(
+    f"""WITH t AS (SELECT id, {_FAR} AS latitude, longitude FROM {FLATS_SQL}), p AS (SELECT t.id, s.id AS nearest, row_number() OVER (PARTITION BY t.id ORDER BY {_DIST}, s.id) AS rank FROM t CROSS JOIN {SALES_SQL} s)
+    SELECT id, CAST(rank AS INT) AS rank, nearest FROM p WHERE rank <= 10"""
+)
+def k_nearest_sales(spark, sf):
+    """The ten sales nearest to each flat, wherever it is."""
+    at = flats(spark, sf).selectExpr("id", f"{_FAR} AS latitude", "longitude")
+    return spatial.k_nearest(at, sales(spark, sf).withColumnRenamed("id", "nearest"), 10, "id", "nearest").select("id", "rank", "nearest")
+
+
 def _squares(spark, sf):
     """One square for each nation, in a row of five; its parts share a side."""
     n = read(spark, sf, "nation").selectExpr("n_nationkey", "n_name AS name", "50e0 + (n_nationkey % 5) * 6e-2 AS s", "198e-1 + floor(n_nationkey / 5) * 8e-2 AS w")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import arrays, numbers, sketch, text
+from ..operators import similar
 from .registry import query
 from .tables import read
 
@@ -69,6 +70,20 @@ def trigram_similarity(spark, sf):
     return p.join(nxt, "p_partkey").select(F.col("p_partkey").alias("a"), "b", F.round(text.trigram_similarity(F.col("p_name"), F.col("other")), 6).alias("similarity"))
 
 
+_GOODS = "lower(concat_ws(' ', p_name, p_brand, p_type))"
+
+
+@query(
+    f"""WITH t AS (SELECT min(p_partkey) AS id, {_GOODS} AS x FROM part GROUP BY 2), g AS (SELECT id, unnest({_grams('x')}) AS gram FROM t), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+    p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id GROUP BY 1, 2)
+    SELECT a, b, round(k / (x.n + y.n - k), 6) AS similarity FROM p JOIN n x ON a = x.id JOIN n y ON b = y.id WHERE k / (x.n + y.n - k) >= 0.6"""
+)
+def trigram_join(spark, sf):
+    """Descriptions of parts that are alike."""
+    goods = read(spark, sf, "part").selectExpr("p_partkey", f"{_GOODS} AS goods")
+    return similar.similar_texts(goods, "p_partkey", "goods", 0.6).withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def html_plain_text(spark, sf):
     return read(spark, sf, "pages").select("page_id", text.html_to_text(F.col("html")).alias("text"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plotline.functions import arrays, dates, geo, labels, numbers, rules, sketch, text
-from plotline.operators import assistant, checks, comparables, developer, enrich, history, lineage, merge, search, spatial
+from plotline.operators import assistant, checks, comparables, cover, developer, enrich, history, lineage, merge, search, spatial
 
 
 def one(spark, *columns):
@@ -178,7 +178,7 @@ def test_containing_areas_of_many_cells(spark):
     want = {i: "big" if held(y, x, [outer, hole]) else "small" for i, y, x in at if held(y, x, [outer, hole]) or held(y, x, [beside])}
     df = spark.createDataFrame(at, "id long, latitude double, longitude double")
     assert {r.id: r.name for r in spatial.containing(df, areas, "id", ["name"]).collect()} == want
-    cells = spatial.area_cells(areas, ["name"], 0.05).collect()
+    cells = cover.cover(areas, ["name"]).collect()
     assert any(c.whole and not c.sides for c in cells) and {"big", "small"} == set(want.values())
     near = {r.id for r in spatial.within_area(df, areas, 2000, "id").collect()}
     sides = areas.select(F.explode("sides").alias("e"))
@@ -270,11 +270,17 @@ def test_place_rules(spark):
         ("PodZielonki", "Zielonki", False),
         ("Nowa Wieś (okolica)", "Nowa Wieś", True),
     ]
-    got = values(spark, [x[:2] for x in said], "t string, name string", checks.place_mention(F.col("t"), F.col("name")))
+
+    def mentions(rows):
+        df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_i int, t string, name string")
+        told = {r._i: r.said for r in checks.with_mention(df, "t", "name").collect()}
+        return [told.get(i) for i in range(len(rows))]
+
+    got = mentions([x[:2] for x in said])
     assert [g is not None for g in got] == [x[2] for x in said]
     assert got[4] == "blisko Zielonek. Ładny dom w Zielonkach"
     long = "a" * 60 + " blisko Zielonek. " + "b " * 40 + "Dom w Zielonkach jest cichy " + "c " * 40
-    assert values(spark, [(long, "Zielonki")], "t string, name string", checks.place_mention(F.col("t"), F.col("name")))[0].strip("…b c").startswith("Dom w Zielonkach jest cichy")
+    assert mentions([(long, "Zielonki")])[0].strip("…b c").startswith("Dom w Zielonkach jest cichy")
 
 
 def test_lineage_of_monthly_relistings(spark):
