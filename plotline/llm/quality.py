@@ -61,9 +61,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.1, decay: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias for raw features, by full-batch Adam on the logistic loss."""
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    n = len(positive) + len(unlabelled)
+    mean = (positive.sum(0) + unlabelled.sum(0)) / n
+    p, u = positive - mean, unlabelled - mean
+    scale = np.sqrt((np.einsum("ij,ij->j", p, p) + np.einsum("ij,ij->j", u, u)) / n) + 1e-3
+    p /= scale
+    u /= scale
     w = np.zeros(p.shape[1] + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -81,11 +84,14 @@ def nn_pu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 
 
 def _featured(df: DataFrame) -> DataFrame:
+    """doc_id, h, trusted, features of one row of each key."""
+    key = ["doc_id", "h", "trusted"]
+
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("trusted"), pa.array([features(x).astype(np.float16).tobytes() for x in b.column("text").to_pylist()], pa.binary())], ["trusted", "features"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in key), pa.array([features(x).astype(np.float16).tobytes() for x in b.column("text").to_pylist()], pa.binary())], [*key, "features"])
 
-    return df.select("trusted", "text").mapInArrow(run, "trusted boolean, features binary")
+    return df.select(*key, "text").mapInArrow(run, "doc_id long, h long, trusted boolean, features binary").groupBy(*key).agg(F.first("features").alias("features"))
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float]:
@@ -102,13 +108,13 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     trusted = every.join(known.where("quality = 1").select("doc_id"), "doc_id").orderBy(F.xxhash64(*key), *key).limit(positives).withColumn("trusted", F.lit(True))
     others = every.orderBy(F.xxhash64(*key, F.lit(1)), *key).limit(unlabelled).withColumn("trusted", F.lit(False))
     chosen = spark.createDataFrame(trusted.union(others).toArrow())  # at most positives + unlabelled keys
-    texts = keyed.join(F.broadcast(chosen), key).groupBy(*key, "trusted").agg(F.first("text").alias("text"))
-    rows = _featured(texts.orderBy("trusted", *key)).toArrow()
-    x = np.frombuffer(b"".join(rows.column("features").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float64)
-    is_trusted = np.array(rows.column("trusted").to_pylist(), bool)
-    if not is_trusted.any() or is_trusted.all():
-        return np.zeros(WIDTH), 0.0
-    return nn_pu_fit(x[is_trusted], x[~is_trusted], prior)
+    rows = _featured(keyed.join(F.broadcast(chosen), key)).toArrow()
+    is_trusted, order = rows.column("trusted").to_numpy(), np.lexsort([rows.column(c).to_numpy() for c in (*key, "trusted")])
+    x = np.frombuffer(b"".join(rows.column("features").to_pylist()), np.float16).reshape(-1, WIDTH)
+    del rows
+    sides = [x[order[is_trusted[order] == side]].astype(np.float64) for side in (True, False)]
+    del x
+    return nn_pu_fit(*sides, prior) if all(map(len, sides)) else (np.zeros(WIDTH), 0.0)
 
 
 def keep_good(df: DataFrame, weights: np.ndarray, bias: float, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
