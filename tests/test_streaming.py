@@ -3,10 +3,23 @@
 import datetime as dt
 import os
 
+import pytest
+
 from plotline.operators import history
 from plotline.streaming import jobs
 
 T = dt.datetime(2024, 1, 1)
+
+
+@pytest.fixture(autouse=True)
+def one_task(spark):
+    """One state store and one worker a batch: the files are tiny."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 ROWS = [(1, T, 100), (1, T + dt.timedelta(hours=1), 100), (1, T + dt.timedelta(hours=2), 90), (2, T, 50)]
 
 
@@ -87,13 +100,13 @@ def test_states_over_batches_a_restart_and_a_repeated_batch(spark, tmp_path):
 def test_changes_over_batches(spark, tmp_path):
     parts = [[(1, T, 100), (2, T, 50)], [(1, T + H, 100), (1, T - H, 70), (2, T + H, None)], [(1, T + 2 * H, 90), (2, T + 2 * H, 50), (3, None, 5)]]
     got = []
-    run(jobs.price_changes(batches(spark, tmp_path / "in", *parts), "id", "at", ["price"], forget=dt.timedelta(days=1)), lambda b, i: got.extend(b.collect()), tmp_path / "check")
+    run(jobs.price_changes(batches(spark, tmp_path / "in", *parts), "id", "at", ["price"]), lambda b, i: got.extend(b.collect()), tmp_path / "check")
     assert sorted((r.id, r.at, r.price or 0) for r in got) == [(1, T, 100), (1, T + 2 * H, 90), (2, T, 50), (2, T + H, 0), (2, T + 2 * H, 50)]
 
 
 def test_services_fall_silent(spark, tmp_path):
     S = dt.timedelta(seconds=1)
-    parts = [[("a", T), ("b", T)], [("b", T + 170 * S)], [("b", T + 340 * S)], [("c", T + 900 * S)], [("c", T + 901 * S)]]
+    parts = [[("a", T), ("b", T)], [("b", T + 170 * S)], [("b", T + 340 * S), ("c", T + 900 * S)]]
     beats = batches(spark, tmp_path / "in", *parts, schema="service string, updated_at timestamp")
     got = []
     q = jobs.silent_services(beats).writeStream.outputMode("append").foreachBatch(lambda b, i: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
