@@ -2,7 +2,8 @@
 
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_masked
@@ -49,10 +50,23 @@ def new_listings(stored: DataFrame, ads: DataFrame, raw: DataFrame, children: di
     return out
 
 
-def publish(df: DataFrame, path: str) -> str:
-    """Writes df as a new version under path, which readers see once it is whole; earlier versions stay for those that read them. Returns its folder."""
-    folder = f"{path.rstrip('/')}/version={time.time_ns():020d}"
-    df.write.parquet(folder)
+def publish(df: DataFrame, path: str, least: int = 0) -> str:
+    """Writes df as a new version under path, which readers see once it is whole; earlier versions stay for those that read them. Returns its folder.
+
+    df is computed once: its rows are counted as they are written, under a name that no reader takes. Fewer than `least` are refused.
+    """
+    at = time.time_ns()
+    folder, pending = f"{path.rstrip('/')}/version={at:020d}", f"{path.rstrip('/')}/_pending-{at:020d}"
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(pending)
+    jvm = df.sparkSession.sparkContext._jvm
+    here, there = jvm.org.apache.hadoop.fs.Path(pending), jvm.org.apache.hadoop.fs.Path(folder)
+    fs = here.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if seen.get["n"] < least:
+        fs.delete(here, True)
+        raise ValueError(f"{seen.get['n']} rows, at least {least} are asked for")
+    if not fs.rename(here, there):
+        raise OSError(f"{pending} could not become {folder}")
     return folder
 
 
@@ -61,17 +75,22 @@ def published(spark: SparkSession, path: str, version: int = -1) -> DataFrame:
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    folders = sorted(s.getPath().toString() for s in fs.listStatus(top) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
+    folders = sorted(s.getPath().toString() for s in fs.listStatus(top) if s.getPath().getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
     return spark.read.parquet(folders[version])
 
 
 def rebuilt(df: DataFrame, path: str, columns: list[str]) -> str:
-    """Publishes a table that is made anew as a whole. Other columns than those asked for, or an empty key (the first column), are refused."""
+    """Publishes a table that is made anew as a whole. Other columns than those asked for, or an empty key (the first column), are refused, keys as they are written."""
     if df.columns != columns:
         raise ValueError(f"columns {df.columns} are not {columns}")
-    if not df.where(F.col(columns[0]).isNull()).isEmpty():
-        raise ValueError(f"rows without {columns[0]}")
-    return publish(df, path)
+    key, missing = columns[0], f"rows without {columns[0]}"
+    checked = F.when(F.col(key).isNull(), F.raise_error(F.lit(missing)).cast(df.schema[key].dataType)).otherwise(F.col(key))
+    try:
+        return publish(df.withColumn(key, checked), path)
+    except PySparkException as e:
+        if missing in str(e):
+            raise ValueError(missing) from e
+        raise
 
 
 def inserted(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -103,11 +122,12 @@ def register_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, new, ["id"], changing, keep=[c for c in old.columns if c not in ("id", *changing)])
 
 
-def replace_all(df: DataFrame, path: str, what: str) -> None:
-    """Writes df in place of what is there; an empty table is refused, so a failed download does not wipe a good one."""
-    if df.isEmpty():
-        raise ValueError(f"no {what}: the previous ones are kept")
-    df.write.mode("overwrite").parquet(path)
+def replace_all(df: DataFrame, path: str, what: str) -> str:
+    """Publishes df in place of what is there (read with published); an empty table is refused, so neither a failed download nor a lost job wipes a good one."""
+    try:
+        return publish(df, path, 1)
+    except ValueError as e:
+        raise ValueError(f"no {what}: the previous ones are kept") from e
 
 
 def same_area(a: Column, b: Column, ratio: float = 0.03) -> Column:
@@ -146,11 +166,34 @@ def ring_buffer(logs: DataFrame, service: str = "service", order: str = "id", mo
     return logs.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most).drop("_rank")
 
 
-def saved_search(saved: DataFrame, name: str, query: str) -> DataFrame:
-    """saved with one more search; a name that is taken is refused."""
-    if not saved.where(F.col("name") == name).isEmpty():
-        raise ValueError(f"a search named {name} exists")
-    return saved.unionByName(saved.sparkSession.createDataFrame([(name, query)], "name string, query string"), allowMissingColumns=True)
+def created_searches(saved: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """saved (id, name, query) with new searches (name, query, and at, their order), and those refused: a name is taken once, by the first that asks for it."""
+    w = Window.partitionBy("name").orderBy("at", "query")
+    asked = new.join(saved.select("name", F.lit(True).alias("_taken")).distinct(), "name", "left").withColumn("_rank", F.row_number().over(w))
+    ok = F.col("_taken").isNull() & (F.col("_rank") == 1)
+    newest = saved.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_newest"))
+    numbered = asked.where(ok).crossJoin(F.broadcast(newest)).withColumn("id", F.col("_newest") + F.row_number().over(Window.orderBy("at", "name")))  # new searches are few
+    return saved.unionByName(numbered.select(*saved.columns)), asked.where(~ok).select(*new.columns)
+
+
+def updated_searches(saved: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """saved with changed names and queries (changes: id, name, query), and those refused with why: unknown ids, and names that another search has or asks for with a lower id."""
+    told = changes.groupBy("id").agg(F.max(F.struct("name", "query")).alias("_c")).select("id", F.col("_c.name").alias("_name"), F.col("_c.query").alias("_query"))
+    j = saved.join(told, "id", "full")
+    first = told.groupBy("_name").agg(F.min("id").alias("_asks"))
+    held = saved.select(F.col("name").alias("_name"), F.col("id").alias("_owner"))
+    j = j.join(first, "_name", "left").join(held, "_name", "left")
+    owner = F.coalesce("_owner", "_asks")
+    why = F.when(F.col("name").isNull(), "unknown").when(owner != F.col("id"), "name is taken")
+    j = j.withColumn("_why", F.when(F.col("_name").isNotNull(), why))
+    take = F.col("_name").isNotNull() & F.col("_why").isNull()
+    kept = j.where("name IS NOT NULL").select("id", F.when(take, F.col("_name")).otherwise(F.col("name")).alias("name"), F.when(take, F.col("_query")).otherwise(F.col("query")).alias("query"))
+    return kept, j.where("_why IS NOT NULL").select("id", F.col("_name").alias("name"), F.col("_why").alias("why"))
+
+
+def deleted_searches(saved: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """saved without the ids, and those of them that are unknown."""
+    return saved.join(ids.select("id").distinct(), "id", "left_anti"), ids.select("id").distinct().join(saved.select("id"), "id", "left_anti")
 
 
 def enqueued(requests: DataFrame, ids: DataFrame, ads: DataFrame, now: Column) -> DataFrame:

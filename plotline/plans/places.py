@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import comparables, developer, signals, spatial, stats
+from ..operators import checks, comparables, developer, signals, spatial, stats
 from .registry import query
 from .tables import FLATS, FLATS_SQL, SALES_SQL, flats, made, read, sales
 
@@ -125,6 +125,22 @@ def nearest_line(spark, sf):
     return got.select("id", F.bround("distance_m", 0).cast("int").alias("metres"))
 
 
+@query(
+    f"""WITH l AS (SELECT concat('street', CAST(s_suppkey % 29 AS VARCHAR)) AS street, 50e0 + s_suppkey * 7 % 30 / 1e2 AS la, 198e-1 + s_suppkey * 11 % 40 / 1e2 AS lo FROM supplier),
+    d AS (SELECT id, latitude, (lo - longitude) * cos(radians(latitude)) AS x1, la - latitude AS y1, 3e-2 * cos(radians(latitude)) AS dx, 1e-2 AS dy FROM {FLATS_SQL} JOIN l ON street = street_key),
+    e AS (SELECT id, sqrt(power(x1 + greatest(0, least(1, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) * dx, 2) + power(y1 + greatest(0, least(1, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) * dy, 2)) * 111320 AS m FROM d),
+    n AS (SELECT id, CAST(round_even(min(m), 0) AS INT) AS metres FROM e WHERE m <= 15000 GROUP BY id)
+    SELECT id, metres, CASE WHEN metres BETWEEN 1000 AND 15000 THEN 'pin_far_from_street' ELSE '' END AS flag FROM n"""
+)
+def own_street(spark, sf):
+    """How far each flat lies from the street of its own name, and what is said of one that lies far off."""
+    lines = read(spark, sf, "supplier").selectExpr("concat('street', CAST(s_suppkey % 29 AS STRING)) AS street_key", "50e0 + s_suppkey * 7 % 30 / 1e2 AS la", "198e-1 + s_suppkey * 11 % 40 / 1e2 AS lo")
+    pts = F.array(F.struct(F.col("la").alias("lat"), F.col("lo").alias("lon")), F.struct((F.col("la") + 1e-2).alias("lat"), (F.col("lo") + 3e-2).alias("lon")))
+    got = spatial.nearest_line(flats(spark, sf), lines.select("street_key", pts.alias("points")), checks.STREET_BEYOND_M, "id", ["street_key"], ["street_key"])
+    metres = F.bround("distance_m", 0).cast("int")
+    return got.select("id", metres.alias("metres"), F.array_join(checks.street_verdict(F.col("street_key"), metres)["flags"], ",").alias("flag"))
+
+
 @query(
     f"""WITH r AS (SELECT 50.12 AS la, 19.95 AS lo, 1.0 AS e, 0.0 AS n UNION ALL SELECT 50.12, 19.92, -1.0, 0.0),
     d AS (SELECT id, (longitude - lo) * 111320 * cos(radians(la)) * e AS along, abs((latitude - la) * 111320 * e) AS aside FROM {FLATS_SQL}, r)

@@ -74,6 +74,6 @@ def register_documents(spark, sf):
 @query("SELECT page_id FROM pages")
 def archive_round_trip(spark, sf):
     """Payloads deflated and inflated again; those that come back changed would be left out."""
-    json = F.to_json(F.struct("page_id", "url"))
-    df = read(spark, sf, "pages").select("page_id", json.alias("json"))
-    return df.withColumn("back", payload.inflated(payload.deflated(F.col("json")))).where(F.get_json_object("back", "$.url").eqNullSafe(F.get_json_object("json", "$.url"))).select("page_id")
+    json = F.to_json(F.struct("page_id", "url", "html"))
+    df = read(spark, sf, "pages").select("page_id", "html", json.alias("json"))
+    return df.withColumn("back", payload.inflated(payload.deflated(F.col("json")))).where(F.col("back").eqNullSafe(F.col("json")) & F.get_json_object("back", "$.html").eqNullSafe(F.col("html"))).select("page_id")

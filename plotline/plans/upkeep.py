@@ -472,17 +472,20 @@ def text_helpers(spark, sf):
 
 
 @query(
-    """SELECT p_partkey AS id, format('{:t }', CAST(p_retailprice * 1000 AS BIGINT)).replace(',', ' ') || ' zł' AS money, (CASE WHEN p_size < 20 THEN '-' WHEN p_size > 20 THEN '+' ELSE '' END) || replace(regexp_replace(CAST(round(abs(p_size - 20) / 4.0, 1) AS VARCHAR), '\\.0$', ''), '.', ',') || '%' AS pct FROM part WHERE p_size % 2 = 0"""
+    """SELECT p_partkey AS id, format('{:t }', CAST(p_retailprice * 1000 AS BIGINT)).replace(',', ' ') || ' zł' AS money, (CASE WHEN p_size < 20 THEN '-' WHEN p_size > 20 THEN '+' ELSE '' END) || replace(regexp_replace(CAST(round(abs(p_size - 20) / 5.0, 1) AS VARCHAR), '\\.0$', ''), '.', ',') || '%' AS pct FROM part"""
 )
 def money_and_percent(spark, sf):
-    p = read(spark, sf, "part").where("p_size % 2 = 0")
-    return p.select(F.col("p_partkey").alias("id"), text.money((F.col("p_retailprice") * 1000).cast("long")).alias("money"), text.percent((F.col("p_size") - 20) / 4).alias("pct"))
+    p = read(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"), text.money((F.col("p_retailprice") * 1000).cast("long")).alias("money"), text.percent((F.col("p_size") - 20) / 5).alias("pct"))
 
 
-@query("SELECT doc_id, array_to_string([words[1], words[1 + CAST(round_even((len(words) - 1) / 3.0, 0) AS INT)], words[1 + CAST(round_even((len(words) - 1) * 2 / 3.0, 0) AS INT)], words[-1]], ' ') AS sample FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents WHERE text IS NOT NULL) WHERE len(words) > 4")
+@query(
+    """SELECT doc_id, CASE WHEN len(words) <= 4 THEN array_to_string(words, ' ') ELSE array_to_string([words[1], words[1 + CAST(round_even((len(words) - 1) / 3.0, 0) AS INT)], words[1 + CAST(round_even((len(words) - 1) * 2 / 3.0, 0) AS INT)], words[-1]], ' ') END AS sample
+    FROM (SELECT doc_id, string_split(text, ' ') AS words FROM documents WHERE text IS NOT NULL)"""
+)
 def evenly_spaced(spark, sf):
     """Four words of each text, evenly spaced."""
-    d = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", " ", -1).alias("words")).where("size(words) > 4")
+    d = read(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", F.split("text", " ", -1).alias("words"))
     return d.select("doc_id", F.array_join(arrays.evenly(F.col("words"), 4), " ").alias("sample"))
 
 
@@ -542,3 +545,19 @@ def nuisance_flags(spark, sf):
     n = signals.nuisances(flats(spark, sf), lines.unionByName(runway))
     v = checks.nuisance_verdict(F.col("expressway_m"), F.col("expressway_label"), F.col("railway_m"), F.col("approach_m"))
     return n.select("id", F.array_join(F.transform(v["flags"], lambda f: F.concat(f, F.lit(","))), "").alias("flags"))
+
+
+@query(
+    """WITH s AS (SELECT n_nationkey AS id, n_name AS name, 'q' || n_regionkey AS query FROM nation WHERE n_regionkey < 3),
+    a AS (SELECT n_name AS name, 'new' AS query, n_nationkey AS asked FROM nation UNION ALL SELECT r_name, 'region', 100 + r_regionkey FROM region UNION ALL SELECT r_name, 'again', 200 + r_regionkey FROM region),
+    f AS (SELECT * FROM a WHERE name NOT IN (SELECT name FROM s) QUALIFY row_number() OVER (PARTITION BY name ORDER BY asked) = 1),
+    c AS (SELECT id, name, query FROM s UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY asked, name), name, query FROM f)
+    SELECT id, name, query FROM c WHERE id % 7 <> 0"""
+)
+def saved_searches(spark, sf):
+    """Searches of some nations are saved; all nations and, twice, all regions ask for more; some are deleted."""
+    nation, region = read(spark, sf, "nation"), read(spark, sf, "region")
+    saved = nation.where("n_regionkey < 3").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"), F.concat(F.lit("q"), F.col("n_regionkey").cast("string")).alias("query"))
+    new = nation.selectExpr("n_name AS name", "'new' AS query", "n_nationkey AS at").unionByName(region.selectExpr("r_name AS name", "'region' AS query", "100 + r_regionkey AS at")).unionByName(region.selectExpr("r_name AS name", "'again' AS query", "200 + r_regionkey AS at"))
+    kept, _ = merge.created_searches(saved, new)
+    return merge.deleted_searches(kept, kept.where("id % 7 = 0"))[0]

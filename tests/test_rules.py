@@ -179,7 +179,7 @@ def test_containing_areas_of_many_cells(spark):
     df = spark.createDataFrame(at, "id long, latitude double, longitude double")
     assert {r.id: r.name for r in spatial.containing(df, areas, "id", ["name"]).collect()} == want
     cells = cover.cover(areas, ["name"]).collect()
-    assert any(c.whole and not c.sides for c in cells) and {"big", "small"} == set(want.values())
+    assert all(0 < len(c.sides) <= cover.MOST_SIDES for c in cells if not c.whole) and {"big", "small"} == set(want.values())
     near = {r.id for r in spatial.within_area(df, areas, 2000, "id").collect()}
     sides = areas.select(F.explode("sides").alias("e"))
     close = df.join(sides, geo.side_distance(F.col("e"), F.col("latitude"), F.col("longitude")) <= 2000, "left_semi")
@@ -316,8 +316,31 @@ def test_snapshots_restart_after_renumbering(spark):
 
 
 def test_replace_all_refuses_nothing(spark, tmp_path):
-    with pytest.raises(ValueError):
-        merge.replace_all(spark.range(0), str(tmp_path / "x"), "streets")
+    path = str(tmp_path / "x")
+    merge.replace_all(spark.range(4), path, "streets")
+    with pytest.raises(ValueError, match="no streets"):
+        merge.replace_all(spark.range(0), path, "streets")
+    broken = spark.range(9).select(F.when(F.col("id") == 8, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="lost"):
+        merge.replace_all(broken, path, "streets")
+    assert merge.published(spark, path).count() == 4
+
+
+def test_saved_searches(spark):
+    saved = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (5, "c", "z")], "id long, name string, query string")
+    new = spark.createDataFrame([("d", "1", 1), ("a", "2", 2), ("d", "3", 3), ("e", "4", 4)], "name string, query string, at int")
+    kept, refused = merge.created_searches(saved, new)
+    assert sorted(map(tuple, kept.collect())) == [(1, "a", "x"), (2, "b", "y"), (5, "c", "z"), (6, "d", "1"), (7, "e", "4")] and sorted(r.query for r in refused.collect()) == ["2", "3"]
+    changes = spark.createDataFrame([(1, "a", "new"), (2, "c", "no"), (5, "f", "yes"), (9, "g", "unknown"), (6, "f", "late")], "id long, name string, query string")
+    got, why = merge.updated_searches(kept, changes)
+    assert sorted(map(tuple, got.collect())) == [(1, "a", "new"), (2, "b", "y"), (5, "f", "yes"), (6, "d", "1"), (7, "e", "4")]
+    assert {r.id: r.why for r in why.collect()} == {2: "name is taken", 9: "unknown", 6: "name is taken"}
+    left, unknown = merge.deleted_searches(saved, spark.createDataFrame([(2,), (2,), (8,)], "id long"))
+    assert sorted(r.id for r in left.collect()) == [1, 5] and [r.id for r in unknown.collect()] == [8]
+
+
+def test_said_folds_case():
+    assert assistant.said([" Balkon", "balkon ", "", "Garaż", "BALKON"]) == ["Balkon", "Garaż"]
 
 
 def test_search_and_plan():

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from plotline.sources import geodata, payload, pricelists
+from plotline.sources import geodata, headers, payload, pricelists
 
 HEAD = "Miejscowość inwestycji;Ulica inwestycji;Nr lokalu nadany przez dewelopera;Cena lokalu [zł];Cena m 2;Powierzchnia użytkowa;Rodzaj części nieruchomości;Oznaczenie części;Cena części;Data od której cena m2 obowiązuje"
 
@@ -26,6 +26,16 @@ def test_csv_price_list(spark):
     assert other == 3
 
 
+def test_headers_of_official_and_free_sheets():
+    """A sheet of the template takes nothing from the words of other sheets; one of its own kind is read at the ends of its headers."""
+    official = [*HEAD.split(";"), "floor", "city", "Valid from", "Województwo siedziby dewelopera", "Województwo inwestycji"]
+    got = headers.columns_of(official)
+    assert (got["town"], got["unit"], got["price"], got["price_per_m2"], got["price_since"], got["voivodeship"]) == (0, 2, 3, 4, 9, 14) and "floor" not in got
+    free = ["Sales office city", "city", "building number", "unit number", "net price", "total price", "price per meter", "valid from", "plot area", "usable area", "name set"]
+    assert headers.columns_of(free) == {"town": 1, "building_number": 2, "unit": 3, "price": 5, "price_per_m2": 6, "price_since": 7, "area": 9}
+    assert headers.columns_of(["Nr lokalu", "Cena", "x"]) is None and headers.columns_of([None, 5, ""]) is None
+
+
 def test_area_from_prices(spark):
     text = "Miejscowość;Nr lokalu;Cena brutto;Cena za m2\nKraków;1;500000;10000\n"
     u = pricelists.units(pricelists.rows_of_files(files(spark, ("f", "csv", bytearray(text.encode()))))).first()
