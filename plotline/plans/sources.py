@@ -33,8 +33,10 @@ def price_list_files(spark, sf):
     c = F.col
     s = lambda x: x.cast("string")
     area = F.replace(s(F.round(F.lit(40) + c("p_partkey") % 50 / 10.0, 2)), F.lit("."), F.lit(","))
-    line = F.concat_ws(";", F.concat(F.lit("Town"), s(c("p_size"))), F.concat(F.lit("L"), s(c("p_partkey"))), F.concat(F.replace(F.format_number(300_000 + c("p_partkey") * 100, 0), F.lit(","), F.lit(" ")), F.lit(" zł")), area)
-    head = "Miejscowość inwestycji;Nr lokalu nadany przez dewelopera;Cena lokalu;Powierzchnia użytkowa"
+    zloty = lambda x: F.concat(F.replace(F.format_number(x, 0), F.lit(","), F.lit(" ")), F.lit(" zł"))
+    line = F.concat_ws(";", F.concat(F.lit("Town"), s(c("p_size"))), F.concat(F.lit("L"), s(c("p_partkey"))), zloty(300_000 + c("p_partkey") * 100), zloty(F.lit(9_000) + c("p_partkey") % 7), area)
+    # the template's own columns: without a price for a square metre a sheet is not read by it
+    head = "Miejscowość inwestycji;Nr lokalu nadany przez dewelopera;Cena lokalu;Cena m 2;Powierzchnia użytkowa"
     rows = read(spark, sf, "part").groupBy(F.when(c("p_partkey") % 2 == 0, "even").otherwise("odd").alias("file")).agg(F.concat(F.lit(head + "\n"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).cast("binary").alias("content"))
     return pricelists.units(pricelists.rows_of_files(rows.withColumn("format", F.lit("csv")))).select("file", "town", "unit", "price", "area")
 

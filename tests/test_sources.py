@@ -128,3 +128,12 @@ def test_shards():
         with pytest.raises(ValueError):
             parsed_shard(odd)
     assert levels_from("error") == ["ERROR", "CRITICAL"] and len(levels_from("loud")) == 5
+
+
+def test_price_list_files_hold_every_unit(spark):
+    """The files that the query makes are of the template, so each unit of part comes back."""
+    from plotline.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    got = QUERIES["price_list_files"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/part.parquet").count() and got.where("town IS NULL OR unit IS NULL OR price IS NULL OR area IS NULL").isEmpty()
