@@ -124,3 +124,14 @@ def test_price_stats_of_large_groups(spark):
     assert plain(0) == plain(1000)
     some = lambda at_once: sorted(map(str, stats.district_stats(df, ["city"], "price", "area", 30, at_once).withColumns({c: F.round(c, 9) for c in ("p10", "p50", "p90", "mean_score")}).select("city", "n", "p10", "p50", "p90", "mean_score").collect()))
     assert some(0) == some(1000)
+
+
+def test_sides_that_lie_alike_are_asked_once(spark):
+    """Many lines at one place: the least of them by its columns, found through small cells and large ones alike."""
+    lines = [(f"s{i:03}", [(50.0, 20.0), (50.02, 20.05)]) for i in range(300)] + [("far", [(50.1, 20.0), (50.1, 20.1)])]
+    df = spark.createDataFrame(lines, "label string, points array<struct<lat: double, lon: double>>")
+    at = spark.createDataFrame([(1, 50.0101, 20.025), (2, 50.06, 20.02), (3, 51.0, 20.0), (4, 50.0, 20.0)], "id long, latitude double, longitude double")
+    got = {r.id: (r.label, round(r.distance_m)) for r in spatial.nearest_line(at, df, 6000, "id", ["label"]).collect()}
+    assert got == {1: ("s000", 9), 2: ("far", 4453), 4: ("s000", 0)}
+    taken = spark.createDataFrame([(1.0,)], "x double").select(F.size(spatial.covering_cells(F.struct(F.lit(50.0).alias("lat1"), F.lit(20.0).alias("lon1"), F.lit(50.2).alias("lat2"), F.lit(20.3).alias("lon2")), 100.0)).alias("n")).first().n
+    assert taken < 3000  # of the box around it 50,000
