@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..session import spread, written
 from .cover import cells_at, cover, holds
+from .tiles import nearest_rows
 
 
 def row_of(lat: Column, metres: float | Column) -> Column:
@@ -70,6 +71,8 @@ def near_pairs(left: DataFrame, right: DataFrame, metres: float, keys: list[str]
 
 def nearest(left: DataFrame, right: DataFrame, metres: float, key: str, take: list[str], keys: list[str] = ()) -> DataFrame:
     """For each of left's keys the nearest of right within so many metres: key, distance_m and right's columns to take."""
+    if not keys:
+        return nearest_rows(left, right, 1, key, F.struct(*take), metres).select(key, "distance_m", *(F.col(f"_take.{c}").alias(c) for c in take))
     pairs = near_pairs(left.select(key, "latitude", "longitude", *keys), right, metres, keys)
     first = F.min_by(F.struct("distance_m", *(F.col(f"r_{c}").alias(c) for c in take)), F.struct("distance_m", *(f"r_{c}" for c in take)))
     return pairs.groupBy(key).agg(first.alias("n")).select(key, "n.distance_m", *(F.col(f"n.{c}").alias(c) for c in take))
@@ -82,11 +85,13 @@ LEAST_CELL_M, LEVELS = 62.5, 20
 def k_nearest(left: DataFrame, right: DataFrame, k: int, key: str, right_key: str, keys: list[str] = ()) -> DataFrame:
     """key, rank (from 1), right_key, distance_m: the k nearest of right for each of left, however far; fewer only where right has fewer. Ties by right_key.
 
-    Counts of a pyramid of cells tell, before any pair is made, in how large a cell of its own a position has k others; it looks for them in cells
+    Rows are met by tiles (tiles.py). With keys, columns that have to be equal, counts of a pyramid of cells tell, before any pair is made, in how large a cell of its own a position has k others; it looks for them in cells
     twice as high. If its k-th lies within their height they are the nearest; else that distance bounds them, and one more round looks as far as it.
-    Positions that are missing have none. keys: columns that have to be equal.
+    Positions that are missing have none.
     """
     c = F.col
+    if not keys:
+        return nearest_rows(left, right, k, key, F.col(right_key)).select(key, "rank", c("_take").alias(right_key), "distance_m")
     a = left.where(geo.has_position(c("latitude"), c("longitude"))).select(key, *keys, "latitude", "longitude")
     b = right.where(geo.has_position(c("latitude"), c("longitude"))).select(c(right_key).alias("_id"), *keys, "latitude", "longitude")
     every = list(range(LEVELS + 1))

@@ -126,6 +126,22 @@ def test_price_stats_of_large_groups(spark):
     assert some(0) == some(1000)
 
 
+def test_nearest_by_tiles_with_empty_and_far_tiles(spark):
+    """Tiles that no position looks into first, positions far from all rows, ties at one position: as a loop over all pairs has it."""
+    kinds = "id long, latitude double, longitude double"
+    right = [(i, 50 + (i * 7919 % 1009) / 3000, 19.8 + (i * 104729 % 1013) / 2500) for i in range(6000)] + [(7000 + i, 50.2, 20.1) for i in range(5)]
+    left = [(i, 50.2 + i / 1e4, 20.1) for i in range(20)] + [(100 + i, 55.0, 20.0 + i / 10) for i in range(5)] + [(200, 0.0, 20.0)]
+    l, r = spark.createDataFrame(left, kinds), spark.createDataFrame(right, kinds).withColumnRenamed("id", "other")
+
+    def metres(a, b):
+        return math.hypot(b[1] - a[1], (b[2] - a[2]) * math.cos(math.radians((a[1] + b[1]) / 2))) * 111_320
+
+    want = {(a[0], k + 1, b[0]) for a in left[:-1] for k, b in enumerate(sorted(right, key=lambda b: (round(metres(a, b), 6), b[0]))[:8])}
+    assert {(x.id, x.rank, x.other) for x in spatial.k_nearest(l, r, 8, "id", "other").collect()} == want
+    near = {(x.id, x.other) for x in spatial.nearest(l, r, 2000, "id", ["other"]).collect()}
+    assert near == {(i, o) for i, k, o in want if k == 1 and i < 100}
+
+
 def test_sides_that_lie_alike_are_asked_once(spark):
     """Many lines at one place: the least of them by its columns, found through small cells and large ones alike."""
     lines = [(f"s{i:03}", [(50.0, 20.0), (50.02, 20.05)]) for i in range(300)] + [("far", [(50.1, 20.0), (50.1, 20.1)])]
