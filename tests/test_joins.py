@@ -50,3 +50,16 @@ def test_a_hot_key_is_dealt_over_tasks(spark):
     plan = history.trailing_sum(df, "k", "at", "v", 24)._jdf.queryExecution().optimizedPlan().toString()
     over_key = [x for x in plan.splitlines() if "Window" in x and "_b" not in x.split("], [")[1]]
     assert not over_key  # every window over rows is by bucket; the one by key alone is over buckets' totals
+
+
+def test_units_and_listings_alike_are_matched_once(spark):
+    """Thirty thousand of each, alike in all that counts: 900 million pairs if they all met."""
+    from plotline.operators import developer
+
+    listings = spark.range(30_000).selectExpr("id", "'Town' AS town", "CAST(NULL AS STRING) AS street_key", "50.0D AS area", "2 AS rooms", "CAST(500000 AS BIGINT) AS price", "CAST(NULL AS DOUBLE) AS latitude", "CAST(NULL AS DOUBLE) AS longitude")
+    units = spark.range(30_000).selectExpr(
+        "id + 7 AS id", "'Town' AS town", "CAST(NULL AS STRING) AS street", "'Park' AS investment", "50.0D AS area", "2 AS rooms", "CAST(500000 AS BIGINT) AS price", "CAST(NULL AS BIGINT) AS first_price", "CAST(NULL AS BIGINT) AS highest_price", "1 AS institution_id",
+        "TIMESTAMP_NTZ '2024-01-01' AS first_seen", "TIMESTAMP_NTZ '2024-01-01' AS last_seen",
+    )
+    got = developer.matches(listings, developer.with_keys(units))
+    assert got.groupBy("unit_id").count().collect() == [(7, 30_000)]
