@@ -63,3 +63,19 @@ def test_units_and_listings_alike_are_matched_once(spark):
     )
     got = developer.matches(listings, developer.with_keys(units))
     assert got.groupBy("unit_id").count().collect() == [(7, 30_000)]
+
+
+def test_previous_sale_over_whole_square_metres(spark):
+    """Areas within the tolerance meet on either side of a whole square metre, and others of the place don't."""
+    from datetime import datetime
+
+    from plotline.operators import comparables
+
+    kinds = "id long, {at} timestamp_ntz, price double, area double, rooms int, floor int, latitude double, longitude double"
+    day = datetime(2020, 1, 1)
+    listings = spark.createDataFrame([(i, datetime(2021, 1, 1), 5e5, a, None, None, 50.0 + i, 20.0) for i, a in enumerate((50.9, 51.1, 50.5, 20.1))], kinds.format(at="listed_at"))
+    sales = spark.createDataFrame([(i, day, 4e5, a, None, None, 50.0 + i, 20.0) for i, a in enumerate((51.2, 50.8, 51.1, 19.85))], kinds.format(at="sold_at"))
+    got = {r.id: r.area for r in comparables.previous_sale(listings, sales).collect()}
+    assert got == {0: 51.2, 1: 50.8, 3: 19.85}
+    plan = comparables.previous_sale(listings, sales)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_whole" in next(line for line in plan.splitlines() if "Join Inner" in line)
