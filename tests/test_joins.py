@@ -79,3 +79,13 @@ def test_previous_sale_over_whole_square_metres(spark):
     assert got == {0: 51.2, 1: 50.8, 3: 19.85}
     plan = comparables.previous_sale(listings, sales)._jdf.queryExecution().optimizedPlan().toString()
     assert "_whole" in next(line for line in plan.splitlines() if "Join Inner" in line)
+
+
+def test_texts_are_not_sent_to_all_tasks(spark):
+    """Texts meet the places they name in a sorted join, however few of them there are."""
+    from plotline.operators import checks
+
+    ads = spark.createDataFrame([(1, 50.0, 20.0, "Kraków", "Działka w Zielonkach", "opis")], "id long, latitude double, longitude double, city_name string, title string, description string")
+    centres = spark.createDataFrame([(2, "Zielonki", 50.01, 20.01)], "city_id long, city_name string, latitude double, longitude double")
+    got = checks.place_verdicts(ads, centres)
+    assert [r.id for r in got.collect()] == [1] and "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
