@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_masked
+from ..session import tasks_for
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], replace: list[str], fill: list[str] = (), keep: list[str] = ()) -> DataFrame:
@@ -112,8 +113,12 @@ def outdated(ads: DataFrame, gone: DataFrame, key: str, now: Column) -> DataFram
 
 
 def without(child: DataFrame, deleted: DataFrame, key: str, parent_key: str) -> DataFrame:
-    """The rows of a child table whose parent stays."""
-    return child.join(deleted.select(F.col(parent_key).alias(key)), key, "left_anti")
+    """The rows of a child table whose parent stays, dealt by the key over a number of tasks that grows with the table.
+
+    Spark merges partitions by their compressed bytes, and keys in order compress so well that a few tasks would sort and group the whole table.
+    """
+    n = tasks_for(child)
+    return child.repartition(n, key).join(deleted.select(F.col(parent_key).alias(key)).repartition(n, key), key, "left_anti")
 
 
 def register_upsert(old: DataFrame, new: DataFrame) -> DataFrame:

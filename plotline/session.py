@@ -49,3 +49,12 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt over as many tasks as shuffles have partitions, for work that is heavy by the row and small by its bytes."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+#: Rows that one task takes of a table whose size is counted.
+TASK_ROWS = 250_000
+
+
+def tasks_for(df: DataFrame) -> int:
+    """As many tasks as shuffles have partitions, or as give each TASK_ROWS rows at most; counting a stored table reads its footers."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))

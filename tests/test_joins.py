@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plotline.operators import history, similar
+from plotline import session
+from plotline.operators import history, merge, similar
 
 
 def grams(text):
@@ -89,3 +90,13 @@ def test_texts_are_not_sent_to_all_tasks(spark):
     centres = spark.createDataFrame([(2, "Zielonki", 50.01, 20.01)], "city_id long, city_name string, latitude double, longitude double")
     got = checks.place_verdicts(ads, centres)
     assert [r.id for r in got.collect()] == [1] and "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deleted_parents_children_are_dealt_by_their_number(spark, monkeypatch):
+    """Tasks take a bounded number of rows, however well keys compress and however few partitions shuffles have."""
+    monkeypatch.setattr(session, "TASK_ROWS", 1_000)
+    child, gone = spark.range(20_000).selectExpr("id div 4 AS k", "id"), spark.range(0, 5_000, 2).withColumnRenamed("id", "parent")
+    kept = merge.without(child, gone, "k", "parent")
+    sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 10_000 and len(sizes) >= 15 and max(sizes) < 1_500
+    assert {r.k for r in kept.collect()} == set(range(1, 5_000, 2))
