@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stash
+from .common import discard, partitions, stash
 from .substring_dedup import HELD, Words, chunks, mix
 
 GROWTH = 1.4  # from a class of sizes to the next
@@ -261,7 +261,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = stash(small.where("u <> v").distinct(), "edges")
+        last, e = e, stash(small.where("u <> v").distinct(), "edges")
+        discard(last)
         after = sums(e)
         if after == before:
             break
@@ -285,6 +286,7 @@ def cross_pairs(members: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     split = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by("root", F.struct("c", "root")).alias("largest")).where("k > 1").select("key", "largest")
     open_keys = stash(placed.join(split, "key").join(sets.select("set_id", "n", *SIGNS), "set_id"), "open")
     side = lambda df, c: df.select(F.col("key").alias(f"key_{c}"), F.col("set_id").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("root", "largest", "n", *SIGNS)))
+    discard(placed)
     x, y = side(open_keys.where("root <> largest"), "x"), side(open_keys, "y")
     met = x.join(y, (F.col("key_x") == F.col("key_y")) & ((F.col("root_y") == F.col("largest_y")) | (F.col("root_x") < F.col("root_y"))) & may_link("x", "y", percent))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -304,9 +306,11 @@ def ngram_components(df: DataFrame, words: int = 5, percent: int = 80, id_col: s
     sizes = members.groupBy("key").agg(F.count_distinct("set_id").alias("m"))
     common_first = Window.partitionBy("set_id", "tag").orderBy(F.col("m").desc(), F.col("key").desc())
     ranked = members.join(sizes, "key").withColumn("rank", F.row_number().over(common_first))
-    members = stash(ranked.where("tag < 0 OR rank > tag % 64").groupBy("key", "set_id").agg(F.first("m").alias("m")), "keys")
+    shared, members = members, stash(ranked.where("tag < 0 OR rank > tag % 64").groupBy("key", "set_id").agg(F.first("m").alias("m")), "keys")
+    discard(shared)
     scores = stash(members.groupBy("set_id").agg(F.sum("m").alias("score")), "scores")
-    members = stash(members.join(scores, "set_id").select("key", "set_id", "score"), "members")
+    shared, members = members, stash(members.join(scores, "set_id").select("key", "set_id", "score"), "members")
+    discard(shared)
     pivots = members.groupBy("key").agg(F.max_by("set_id", F.struct("score", "set_id")).alias("pivot"))
     pairs = members.join(pivots, "key").where("set_id <> pivot")
     pairs = pairs.select(F.least("pivot", "set_id").alias("a"), F.greatest("pivot", "set_id").alias("b")).distinct()
@@ -320,6 +324,7 @@ def ngram_components(df: DataFrame, words: int = 5, percent: int = 80, id_col: s
     roots = stash(components(linked(pairs, cuts, percent)), "roots")
     fresh = stash(cross_pairs(members, roots, sets, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     roots = stash(joined_roots(roots, linked(fresh, cuts, percent)), "roots")
+    discard(members, scores, pairs, cuts, fresh)
 
     # a component's name: the least id of its sets' documents
     named = sets.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))

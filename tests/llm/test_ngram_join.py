@@ -1,8 +1,10 @@
+import os
 import random
 import re
 
 import pytest
 
+from plotline.llm.common import discard, stash
 from plotline.llm.ngram_join import components, max_difference, ngram_components
 
 from .helpers import documents, edges, empty, rows, texts
@@ -77,5 +79,26 @@ def test_bound_on_differences():
             assert most <= max_difference(a, b, 85) or most < 0
 
 
+def held(spark):
+    """Files of shuffles on the disk but those of a single row, and tables in the shared folder, by their names."""
+    from plotline.llm.common import shared_dir
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = {n for k in range(blocks.size()) if (n := blocks.apply(k).getName()).endswith(".data") and blocks.apply(k).length() > 200}
+    return files, {f for f in os.listdir(shared_dir(spark).removeprefix("file:"))}
+
+
+def test_what_is_shuffled_and_stashed_goes_as_soon_as_it_is_used(spark):
+    df = stash(documents(spark).select("doc_id", "text").repartition(3))
+    before = held(spark)
+    ngram_components(df, 5, 80)
+    after = held(spark)
+    assert not after[0] - before[0]
+    left = {f.rpartition("-")[0] for f in after[1] - before[1]}
+    assert {"nodes", "sets", "roots"} <= left and not left & {"keys", "scores", "members", "cuts", "placed"}
+    discard(df)
+    assert len(held(spark)[1]) == len(after[1]) - 1
+
+
 def test_empty_table(spark):
     assert rows(ngram_components(empty(spark))) == []
