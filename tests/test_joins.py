@@ -100,3 +100,19 @@ def test_deleted_parents_children_are_dealt_by_their_number(spark, monkeypatch):
     sizes = [r["count"] for r in kept.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 10_000 and len(sizes) >= 15 and max(sizes) < 1_500
     assert {r.k for r in kept.collect()} == set(range(1, 5_000, 2))
+
+
+def stored(spark, path, df):
+    df.write.parquet(f"{path}")
+    return spark.read.parquet(f"{path}")
+
+
+def test_stems_of_texts_are_not_sent_to_all_tasks(spark, tmp_path):
+    """The listings' files are small: Spark would gather all stems of their texts, as it counts the bytes of the files."""
+    from plotline.operators import checks
+
+    ads = stored(spark, tmp_path / "ads", spark.range(50).selectExpr("id", "50.0D AS latitude", "20.0D AS longitude", "'Kraków' AS city_name", "IF(id % 2 = 0, 'Działka w Zielonkach', 'Działka') AS title", "'opis' AS description"))
+    centres = spark.createDataFrame([(2, "Zielonki", 50.01, 20.01)], "city_id long, city_name string, latitude double, longitude double")
+    got = checks.place_verdicts(ads, centres)
+    assert {r.id for r in got.collect()} == set(range(0, 50, 2))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
