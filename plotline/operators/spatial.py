@@ -70,7 +70,8 @@ def near_pairs(left: DataFrame, right: DataFrame, metres: float, keys: list[str]
     for k in keys:
         met = met & (F.col(k) == F.col(f"r_{k}"))
     d = geo.flat_distance(F.col(lat), F.col(lon), F.col(f"r_{lat}"), F.col(f"r_{lon}"))
-    return a.join(r, met).drop("_y", "_x", "_ry", "_rx").withColumn("distance_m", d).where(F.col("distance_m") <= metres)
+    # left stands in nine cells and is far larger than its files tell Spark, so it is not gathered and sent to all tasks
+    return a.hint("merge").join(r, met).drop("_y", "_x", "_ry", "_rx").withColumn("distance_m", d).where(F.col("distance_m") <= metres)
 
 
 def nearest(left: DataFrame, right: DataFrame, metres: float, key: str, take: list[str], keys: list[str] = ()) -> DataFrame:

@@ -116,3 +116,14 @@ def test_stems_of_texts_are_not_sent_to_all_tasks(spark, tmp_path):
     got = checks.place_verdicts(ads, centres)
     assert {r.id for r in got.collect()} == set(range(0, 50, 2))
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_in_nine_cells_are_not_sent_to_all_tasks(spark, tmp_path):
+    """The listings' files are small: Spark would gather them in nine cells each, as it counts the bytes of the files."""
+    from plotline.operators import comparables
+
+    flats = stored(spark, tmp_path / "flats", spark.range(30).selectExpr("id", "TIMESTAMP_NTZ '2021-01-01' AS listed_at", "5e5D AS price", "50.5D AS area", "CAST(NULL AS INT) AS rooms", "CAST(NULL AS INT) AS floor", "50.0D + id AS latitude", "20.0D AS longitude"))
+    sales = stored(spark, tmp_path / "sales", flats.drop("listed_at").withColumn("sold_at", F.expr("TIMESTAMP_NTZ '2020-01-01'")))
+    got = comparables.previous_sale(flats, sales)
+    assert {r.id for r in got.collect()} == set(range(30))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
