@@ -127,3 +127,21 @@ def test_rows_in_nine_cells_are_not_sent_to_all_tasks(spark, tmp_path):
     got = comparables.previous_sale(flats, sales)
     assert {r.id for r in got.collect()} == set(range(30))
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_units_that_score_too_little_ask_for_no_street(spark, monkeypatch):
+    """Of two units of another street one has the listing's price; only its street is looked for, and its names are brought to it once it is chosen."""
+    from plotline.operators import developer
+
+    seen, nearest_line = [], developer.nearest_line
+    monkeypatch.setattr(developer, "nearest_line", lambda asked, *a: seen.append([r.street_key for r in asked.select("street_key").collect()]) or nearest_line(asked, *a))
+    listings = spark.range(1).selectExpr("id", "'Town' AS town", "'x' AS street_key", "50.05D AS area", "2 AS rooms", "CAST(500000 AS BIGINT) AS price", "50.0D AS latitude", "20.0D AS longitude")
+    units = spark.range(2).selectExpr(
+        "id + 7 AS id", "'Town' AS town", "concat('ul. Polna', id) AS street", "concat('Park', id) AS investment", "50.05D AS area", "2 AS rooms", "CAST(500000 + id * 400000 AS BIGINT) AS price", "CAST(NULL AS BIGINT) AS first_price", "CAST(NULL AS BIGINT) AS highest_price",
+        "1 AS institution_id", "TIMESTAMP_NTZ '2024-01-01' AS first_seen", "TIMESTAMP_NTZ '2024-01-01' AS last_seen",
+    )
+    keyed = developer.with_keys(units)
+    key = {r.id: r.street_key for r in keyed.collect()}
+    streets = spark.createDataFrame([(key[7], [(50.0, 20.0), (50.0, 20.01)])], "street_key string, points array<struct<lat: double, lon: double>>")
+    got = developer.matches(listings, keyed, streets).collect()
+    assert seen == [[key[7]]] and [(r.unit_id, r.unit_investment) for r in got] == [(7, "Park0")]
